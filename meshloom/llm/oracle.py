@@ -83,9 +83,9 @@ SELECT doc_id, size, source_size, target, CAST(size * (((n * rate + o) // 104857
 
 OP8 = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, CAST(octet_length(CAST(html AS BLOB)) AS BIGINT) AS n, upper(sha1(html)) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n, upper(sha1(html)) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
 SELECT page_id, n AS payload_bytes,
-  array_to_string(list_transform(range(0, 8), g -> array_to_string(list_transform([15, 10, 5, 0], s ->
+  array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(1 + 5 * g AS BIGINT), 5) AS BIGINT) >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
   CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to
