@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import without
 
 WEIGHTS = (5, 2, 1)
 #: The most copies expected of a document.
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, *, text: str = "text", weights: tuple[int, ...] = WEIGH
     keep = [c for c in named.columns if carry is None or c in carry]
     slot = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SLOTS))
     rows = named.select(*[F.col(f"`{c}`") for c in keep], size_of(F.col(text)).alias("size"), F.struct(F.col("source").alias("source"), slot.alias("slot")).alias("__at"))
-    counts = materialize(rows.groupBy(F.col("__at.source").alias("source"), "size", F.col("__at.slot").alias("slot")).agg(F.count("*").alias("n")), "mix-counts")
+    counts = rows.groupBy(F.col("__at.source").alias("source"), "size", F.col("__at.slot").alias("slot")).agg(F.count("*").alias("n"))
     by_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     totals = targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most)
     smaller = by_size.withColumn("smaller", F.sum("n").over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)))
