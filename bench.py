@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -19,4 +20,5 @@ if __name__ == "__main__":
         began = time.time()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": folder.rsplit("sf", 1)[-1]}))
