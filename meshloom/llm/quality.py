@@ -29,15 +29,19 @@ PRECISION, MIN_COVER = 0.9, 5
 FEATURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_share", "line_words", "distinct_share")
 
 
-def _sorted_positions(words: Column, n: int) -> Column:
-    """For each window of n words that occurs more than once, its position; rising."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(n)]).alias("h"), i.alias("p")))
-    rows = F.sort_array(windows)
-    step = F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("p"))
-    # a window is repeated if the one before or after it in the order of hashes is equal
-    before, after = F.concat(F.array(step), rows), F.concat(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.array(step))
-    flagged = F.zip_with(F.zip_with(rows, before, lambda r, b: F.struct(r["h"].alias("h"), r["p"].alias("p"), (r["h"] == b["h"]).alias("same"))), after, lambda r, a: F.when(r["same"] | (r["h"] == a["h"]), r["p"]))
-    return F.sort_array(F.filter(flagged, lambda p: p.isNotNull()))
+def _windows(hashes: Column, n: int) -> Column:
+    """The hash and position of each window of n words, in the order of hashes."""
+    at = F.sequence(F.lit(0), F.size(hashes) - n)
+    return F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + j) for j in range(n)]).alias("h"), i.alias("p"))))
+
+
+def _repeated(windows: Column) -> Column:
+    """The positions, rising, of the windows whose neighbour in the order of hashes is equal."""
+
+    def same(w: Column, i: Column) -> Column:
+        return (w["h"] == F.coalesce(F.get(windows, i - 1)["h"], F.bitwise_not(w["h"]))) | (w["h"] == F.coalesce(F.get(windows, i + 1)["h"], F.bitwise_not(w["h"])))
+
+    return F.sort_array(F.filter(F.transform(windows, lambda w, i: F.when(same(w, i), w["p"])), lambda p: p.isNotNull()))
 
 
 def statistics(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -49,8 +53,11 @@ def statistics(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
     bare = F.translate(t, ASCII_SPACE, "")
     rows = docs.select(*carry, t.alias("__t"), bare.alias("__bare"), F.filter(F.split(t, "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "").alias("__w"))
     lines = F.filter(F.split("__t", "\n", -1), lambda x: F.trim(x, F.lit(ASCII_SPACE)) != "")
-    some = F.size("__w") >= REPEAT_WINDOW
-    rows = rows.select(*carry, "__t", "__bare", "__w", lines.alias("__l"), F.when(some, _sorted_positions(F.col("__w"), REPEAT_WINDOW)).alias("__p"))
+    # each step is its own projection, as later ones use it more than once
+    rows = rows.select(*carry, "__t", "__bare", "__w", lines.alias("__l"), F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
+    some = F.when(F.size("__h") >= REPEAT_WINDOW, _windows(F.col("__h"), REPEAT_WINDOW))
+    rows = rows.select(*carry, "__t", "__bare", "__w", "__l", some.alias("__r"))
+    rows = rows.select(*carry, "__t", "__bare", "__w", "__l", _repeated(F.col("__r")).alias("__p"))
     # words in repeated windows: each position adds what lies before the next one, at most the window
     nexts = F.concat(F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0))), F.array(F.lit(1 << 30)))
     covered = F.aggregate(F.zip_with("__p", nexts, lambda a, b: F.least(b - a, F.lit(REPEAT_WINDOW))), F.lit(0), lambda acc, x: acc + x)
