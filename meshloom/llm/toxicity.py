@@ -74,45 +74,53 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Unit vectors by term, with the largest weight of each term in each block of BLOCK vectors."""
+    """Unit vectors by term and block of BLOCK vectors, with the largest weight of each term in each block.
+
+    Vectors with the same heaviest terms lie side by side, which keeps the bounds of other blocks low.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        size = [len(t) for t, _ in vectors]
-        term = np.concatenate([t for t, _ in vectors] + [np.zeros(0, np.int64)])
-        weight = np.concatenate([x for _, x in vectors] + [np.zeros(0)])
-        row = np.repeat(np.arange(len(vectors)), size)
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        self.at = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.n = len(vectors)
-        blocks = -(-self.n // BLOCK)
-        self.top = np.zeros((n_terms, max(1, blocks)), np.float32)
-        np.maximum.at(self.top, (term, row // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        heavy = np.array([int(t[x.argmax()]) if len(t) else n_terms for t, x in vectors], np.int64)
+        self.row = np.argsort(heavy, kind="stable")  # the vector at each place
+        size = [len(vectors[r][0]) for r in self.row]
+        term = np.concatenate([vectors[r][0] for r in self.row] + [np.zeros(0, np.int64)])
+        weight = np.concatenate([vectors[r][1] for r in self.row] + [np.zeros(0)])
+        place = np.repeat(np.arange(self.n), size)
+        order = np.lexsort((place, term))
+        self.slot, self.weight = (place[order] % BLOCK).astype(np.int32), weight[order]
+        cell = term[order] * self.blocks + place[order] // BLOCK
+        self.at = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
+        self.top = np.zeros((n_terms, self.blocks), np.float32)
+        np.maximum.at(self.top, (term, place // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k vectors of highest cosine above 0, best first, ties by number; `leave` isn't one of them."""
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return rows, scores
         bound = (self.top[terms] * weights[:, None]).sum(axis=0) * (1 + 1e-5)
-        order = np.argsort(-bound, kind="stable")
-        lists = [(self.row[self.at[t] : self.at[t + 1]], self.weight[self.at[t] : self.at[t + 1]], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-        rows, scores, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(rows) == k and bound[b] < worst):
-                break
-            lo = b * BLOCK
-            score = np.zeros(BLOCK)
-            for row, weight, w in lists:
-                x, y = np.searchsorted(row, (lo, lo + BLOCK))
-                score[row[x:y] - lo] += w * weight[x:y]
-            if 0 <= leave - lo < BLOCK:
-                score[leave - lo] = 0
-            hit = np.flatnonzero(score > 0)
-            rows, scores = np.concatenate((rows, hit + lo)), np.concatenate((scores, score[hit]))
+        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        done, step = 0, 4
+        while done < len(order):
+            b = order[done : done + step]
+            if len(rows) == k:
+                b = b[bound[b] >= scores[-1]]
+                if not len(b):
+                    break
+            cell = (terms[:, None] * self.blocks + b).ravel()
+            start, length = self.at[cell], self.at[cell + 1] - self.at[cell]
+            end = np.cumsum(length)
+            posting = np.arange(end[-1]) + np.repeat(start - (end - length), length)
+            first = np.repeat(np.tile(np.arange(len(b)) * BLOCK, len(terms)), length)
+            score = np.bincount(first + self.slot[posting], self.weight[posting] * np.repeat(np.repeat(weights, len(b)), length), len(b) * BLOCK)
+            hit = np.flatnonzero(score)
+            found = self.row[b[hit // BLOCK] * BLOCK + hit % BLOCK]
+            hit, found = hit[found != leave], found[found != leave]
+            rows, scores = np.concatenate((rows, found)), np.concatenate((scores, score[hit]))
             best = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[best], scores[best]
-            if len(rows) == k:
-                worst = scores[-1]
+            done, step = done + step, 2 * step
         return rows, scores
 
 
