@@ -114,9 +114,12 @@ class BlockMaxIndex:
             posting = np.arange(end[-1]) + np.repeat(start - (end - length), length)
             first = np.repeat(np.tile(np.arange(len(b)) * BLOCK, len(terms)), length)
             score = np.bincount(first + self.slot[posting], self.weight[posting] * np.repeat(np.repeat(weights, len(b)), length), len(b) * BLOCK)
-            hit = np.flatnonzero(score)
+            hit = np.flatnonzero(score >= scores[-1] if len(rows) == k else score)
             found = self.row[b[hit // BLOCK] * BLOCK + hit % BLOCK]
             hit, found = hit[found != leave], found[found != leave]
+            if len(hit) > k:  # only the k best and their ties need sorting
+                best = score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]
+                hit, found = hit[best], found[best]
             rows, scores = np.concatenate((rows, found)), np.concatenate((scores, score[hit]))
             best = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[best], scores[best]
