@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import quality
 from .model import ETYPES, Mesh
 from .operators import adjacency, entities, measure, parts, sets, spatial
 from .plans.views import brick, orders_mesh, squares, table
@@ -254,3 +255,52 @@ def point_in_volume(spark, sf_dir):
     corner = measure.with_points(Mesh(mesh.vertex, tri)).select(F.col("id").alias("tid"), *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("abc")])
     return spatial.inside_surface(points, corner, 4.0, 80.0)
 
+
+
+def _shapes(spark: SparkSession, sf_dir: str, corners: list[tuple[str, str, str]]) -> DataFrame:
+    """(id, p): a shape for each customer, with points from expressions in k."""
+    points = ", ".join(f"struct(double({x}) AS x, double({y}) AS y, double({z}) AS z)" for x, y, z in corners)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k AS id", f"array({points}) AS p")
+
+
+def _metrics(rows: DataFrame, metrics: dict) -> DataFrame:
+    return rows.select("id", *[F.round(m, 5).alias(name) for name, m in metrics.items()])
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b FROM customer),
+u AS (SELECT id, a, b, sqrt(a * a + b * b) AS c FROM t)
+SELECT id, a * b / 2 AS area, round(c / least(a, b), 5) AS edge_ratio, round(sqrt(3) / 6 * c * (a + b + c) / (a * b), 5) AS aspect_ratio, round(c * c * 2 * c * c / 4, 5) AS radius_ratio,
+ round(c * c / (sqrt(3) * a * b), 5) AS aspect_frobenius, round(c * c / (sqrt(3) * a * b), 5) AS condition, round(sqrt(3) * a * b / (c * c), 5) AS shape,
+ round(a * b * 2 / sqrt(3) / (c * greatest(a, b)), 5) AS scaled_jacobian, round(degrees(atan(least(a, b) / greatest(a, b))), 5) AS minimum_angle FROM u""")
+def triangle_quality(spark, sf_dir):
+    rows = _shapes(spark, sf_dir, [("0", "0", "k % 3"), ("1 + k % 7", "0", "k % 3"), ("0", "1 + k % 5", "k % 3")])
+    return _metrics(rows, quality.triangle(F.col("p")))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b, (c_custkey % 4) / 2.0 AS s FROM customer),
+u AS (SELECT *, sqrt(s * s + b * b) AS c, sqrt(greatest((a + s) * (a + s), (a - s) * (a - s)) + b * b) AS d FROM t)
+SELECT id, a * b AS area, round(greatest(a, c) * (a + c) / (2 * a * b), 5) AS aspect_ratio, round(s / c, 5) AS skew, 0.0::DOUBLE AS taper, 1.0::DOUBLE AS warpage, round(sqrt(2) * least(a, c) / d, 5) AS stretch,
+ a * b AS jacobian, round(b / c, 5) AS scaled_jacobian, round((a * a + c * c) / (2 * a * b), 5) AS condition FROM u""")
+def quadrilateral_quality(spark, sf_dir):
+    rows = _shapes(spark, sf_dir, [("0", "0", "1"), ("1 + k % 7", "0", "1"), ("1 + k % 7 + (k % 4) / 2", "1 + k % 5", "1"), ("(k % 4) / 2", "1 + k % 5", "1")])
+    return _metrics(rows, quality.quadrilateral(F.col("p")))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b, 1.0 + c_custkey % 3 AS c FROM customer),
+u AS (SELECT *, a * b * c AS j, sqrt(a * a + b * b) AS ab, sqrt(b * b + c * c) AS bc, sqrt(a * a + c * c) AS ac, a * a + b * b + c * c AS q FROM t),
+w AS (SELECT *, greatest(ab, bc, ac) AS h, a * b + b * c + a * c + sqrt(a * a * b * b + b * b * c * c + a * a * c * c) AS f FROM u)
+SELECT id, round(j / 6, 5) AS volume, j AS jacobian, round(sqrt(2) * j / greatest(j, a * ab * ac, b * ab * bc, c * ac * bc), 5) AS scaled_jacobian, round(h / least(a, b, c), 5) AS edge_ratio,
+ round(j * sqrt(q) * f / (6 * j * j), 5) AS radius_ratio, round(sqrt(6) / 12 * h * f / j, 5) AS aspect_ratio, round(pow(sqrt(q / 2), 3) / (sqrt(2) * j), 5) AS aspect_gamma,
+ round(1.5 * q / (3 * cbrt(2 * j * j)), 5) AS aspect_frobenius FROM w""")
+def tetrahedron_quality(spark, sf_dir):
+    rows = _shapes(spark, sf_dir, [("2", "3", "4"), ("3 + k % 7", "3", "4"), ("2", "4 + k % 5", "4"), ("2", "3", "5 + k % 3")])
+    return _metrics(rows, quality.tetrahedron(F.col("p")))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b, 1.0 + c_custkey % 3 AS c FROM customer)
+SELECT id, a * b * c AS volume, 0.0::DOUBLE AS skew, round(sqrt(3) * least(a, b, c) / sqrt(a * a + b * b + c * c), 5) AS stretch, 1.0::DOUBLE AS diagonal, a * b * c AS jacobian FROM t""")
+def hexahedron_quality(spark, sf_dir):
+    a, b, c = "1 + k % 7", "1 + k % 5", "1 + k % 3"
+    base = [("0", "0"), (a, "0"), (a, b), ("0", b)]
+    rows = _shapes(spark, sf_dir, [(x, y, z) for z in ("0", c) for x, y in base])
+    return _metrics(rows, quality.hexahedron(F.col("p")))
