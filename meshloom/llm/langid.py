@@ -29,7 +29,7 @@ MAX_LANGS = 500
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SWITCH = 8.0
-#: Log score of a word in a language that doesn't use its script.
+#: What a language that doesn't use a word's script loses against the best one that does, as log score.
 FOREIGN = -30.0
 #: A language uses a script if so large a share of its labelled letters is in it.
 USES = 0.01
@@ -97,7 +97,8 @@ class Model:
                 sums = np.concatenate(([0.0], np.cumsum(self.scores[k, i][b], dtype=np.float64)))
                 out[:, k] += sums[w.end + (n > 1)] - sums[w.start]
         known = self.uses[:, w.script].T
-        return np.where(known | ~known.any(axis=1, keepdims=True), out, out.max(axis=1, keepdims=True, initial=0) + FOREIGN)
+        best = np.where(known, out, -np.inf).max(axis=1, keepdims=True)
+        return np.where(known | ~known.any(axis=1, keepdims=True), out, best + FOREIGN)
 
     def labels(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
         """The best language of each word: Viterbi, for many texts of like length at once."""
