@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first 4 to 6 letters of longer words. The vocabulary is the terms whose
-presence depends on the label (log-likelihood ratio G2 >= `G2` over at least `MIN_DOCS` examples); a text is
-its TF-IDF vector over them. Neighbours are found by exact cosine over a block-max inverted index: examples
+Terms are words and the first 4 to 6 letters of longer words. The vocabulary is the terms whose presence
+depends on the label by a least log-likelihood ratio G2 over a least number of examples: of `SELECTIONS`, the
+last of which keeps every term, the pair whose leave-one-out votes on the examples err least. A text is its
+TF-IDF vector over them. Neighbours are found by exact cosine over a block-max inverted index: examples
 lie in blocks, each term keeps its largest weight in each block, and blocks are searched from the highest
 bound on until no other bound reaches the k-th best. Votes are weighted by cosine, and vote shares are mapped
 to observed rates by a monotone curve from leave-one-out votes of the examples.
 
-Labels are learned from at most `EXAMPLES` labelled documents (those with the smallest hash of their id) and
-at most `TERMS` terms, which bounds the broadcast index. All documents are scored, over their whole texts.
+Labels are learned from at most `EXAMPLES` labelled documents (those with the smallest hash of their id), which
+bounds the broadcast index; the number of terms has no bound of its own. All documents are scored, over their
+whole texts.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from .common import added, chunks, materialize, text_bytes, without
 from .hashing import Rolling, mix
 from .langid import Words
 
-EXAMPLES, TERMS = 20_000, 4096
-MIN_DOCS, G2 = 4, 15.0
+EXAMPLES = 20_000
+#: (least G2, least examples) of a term, each looser than the one before; the last is tried only if the one before it is best.
+SELECTIONS = ((15.0, 4), (10.0, 2), (7.0, 2), (5.0, 2), (4.0, 2), (3.0, 2), (0.0, 1))
+#: Examples whose votes compare the selections.
+JUDGED = 2000
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -88,19 +93,26 @@ class BlockMaxIndex:
         weight = np.concatenate([vectors[r][1] for r in self.row] + [np.zeros(0)])
         place = np.repeat(np.arange(self.n), size)
         order = np.lexsort((place, term))
-        self.slot, self.weight = (place[order] % BLOCK).astype(np.int32), weight[order]
-        cell = term[order] * self.blocks + place[order] // BLOCK
-        self.at = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
-        self.top = np.zeros((n_terms, self.blocks), np.float32)
-        np.maximum.at(self.top, (term, place // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        self.slot, self.weight = (place[order] % BLOCK).astype(np.uint8), weight[order]
+        # a cell is a term in a block that holds it
+        cell, start = np.unique(term[order].astype(np.int64) * self.blocks + place[order] // BLOCK, return_index=True)
+        self.at = np.append(start, len(term)).astype(np.int32)
+        self.block = (cell % self.blocks).astype(np.int32)
+        self.cells = np.searchsorted(cell, np.arange(n_terms + 1) * self.blocks).astype(np.int32)
+        top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.top = np.nextafter(top.astype(np.float32), np.float32(2))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k vectors of highest cosine above 0, best first, ties by number; `leave` isn't one of them."""
         rows, scores = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms) or not self.n:
             return rows, scores
-        bound = (self.top[terms] * weights[:, None]).sum(axis=0) * (1 + 1e-5)
+        cell, weight = _ranges(self.cells[terms], self.cells[terms + 1], weights)
+        bound = np.bincount(self.block[cell], self.top[cell] * weight, self.blocks) * (1 + 1e-5)
         order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        rank = np.zeros(self.blocks, np.int64)
+        rank[order] = np.arange(len(order))
+        rank = rank[self.block[cell]]
         done, step = 0, 4
         while done < len(order):
             b = order[done : done + step]
@@ -108,12 +120,10 @@ class BlockMaxIndex:
                 b = b[bound[b] >= scores[-1]]
                 if not len(b):
                     break
-            cell = (terms[:, None] * self.blocks + b).ravel()
-            start, length = self.at[cell], self.at[cell + 1] - self.at[cell]
-            end = np.cumsum(length)
-            posting = np.arange(end[-1]) + np.repeat(start - (end - length), length)
-            first = np.repeat(np.tile(np.arange(len(b)) * BLOCK, len(terms)), length)
-            score = np.bincount(first + self.slot[posting], self.weight[posting] * np.repeat(np.repeat(weights, len(b)), length), len(b) * BLOCK)
+            met = np.flatnonzero((rank >= done) & (rank < done + len(b)))
+            first = (rank[met] - done) * BLOCK
+            posting, at = _ranges(self.at[cell[met]], self.at[cell[met] + 1], np.arange(len(met)))
+            score = np.bincount(first[at] + self.slot[posting], self.weight[posting] * weight[met][at], len(b) * BLOCK)
             hit = np.flatnonzero(score >= scores[-1] if len(rows) == k else score)
             found = self.row[b[hit // BLOCK] * BLOCK + hit % BLOCK]
             hit, found = hit[found != leave], found[found != leave]
@@ -127,6 +137,13 @@ class BlockMaxIndex:
         return rows, scores
 
 
+def _ranges(start: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one range after another, and each range's value at each of its numbers."""
+    length = (end - start).astype(np.int64)
+    last = np.cumsum(length)
+    return np.arange(last[-1] if len(last) else 0) + np.repeat(start - (last - length), length), np.repeat(values, length)
+
+
 class Model:
     def __init__(self, vocabulary: Vocabulary, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
         self.vocabulary, self.vectors, self.labels, self.ids = vocabulary, vectors, labels, ids
@@ -142,8 +159,8 @@ class Model:
     def calibrated(self, share: float) -> float:
         return float(np.interp(share, np.linspace(0, 1, BINS + 1), self.curve))
 
-    def calibrate(self, n: np.ndarray, hits: np.ndarray) -> None:
-        """From counts of examples and toxic ones by bin of vote share: a rising curve of observed rates."""
+    def calibrate(self, n: np.ndarray, hits: np.ndarray) -> float:
+        """From counts of examples and toxic ones by bin of vote share: a rising curve of observed rates; the squared error of its rates."""
         middle = (np.arange(BINS) + 0.5) / BINS
         groups = [[(h + middle[i]) / (m + 1), m + 1.0, 1] for i, (m, h) in enumerate(zip(n, hits, strict=True))]
         i = 0
@@ -156,10 +173,11 @@ class Model:
                 i += 1
         rate = np.array([p for p, _, c in groups for _ in range(c)])
         self.curve = np.interp(np.linspace(0, 1, BINS + 1), middle, rate)
+        return float((hits * (1 - rate) ** 2 + (n - hits) * rate**2).sum())
 
 
-def _vocabulary(examples: DataFrame) -> Vocabulary:
-    """Terms of examples (row, label, text) that depend on the label."""
+def _counts(examples: DataFrame) -> tuple[DataFrame, int]:
+    """(term, n, g2) of examples (row, label, text): how many hold the term and how it depends on the label; the number of examples."""
 
     def run(batches):
         for batch in batches:
@@ -179,9 +197,7 @@ def _vocabulary(examples: DataFrame) -> Vocabulary:
     # G2 of the two-by-two table of presence and label
     cells = ((F.col("hits"), F.col("n") * (hits / max(n, 1))), (F.col("n") - F.col("hits"), F.col("n") * (1 - hits / max(n, 1))), (F.lit(hits) - F.col("hits"), (n - F.col("n")) * (hits / max(n, 1))), (n - F.col("n") - hits + F.col("hits"), (n - F.col("n")) * (1 - hits / max(n, 1))))
     g2 = sum((F.when(o > 0, o * F.ln(o / F.greatest(e, F.lit(1e-9)))).otherwise(0.0) for o, e in cells), F.lit(0.0)) * 2
-    rows = counts.filter(F.col("n") >= MIN_DOCS).withColumn("g2", g2).filter(F.col("g2") >= G2)
-    got = rows.orderBy(F.desc("g2"), "term").limit(TERMS).select("term", "n").collect()
-    return Vocabulary(np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64), n)
+    return counts.select("term", "n", g2.alias("g2")), n
 
 
 def pick(docs: DataFrame, labels: DataFrame, *, max_examples: int = EXAMPLES) -> DataFrame:
@@ -198,27 +214,69 @@ def pick(docs: DataFrame, labels: DataFrame, *, max_examples: int = EXAMPLES) ->
 def fit(examples: DataFrame) -> Model:
     """A model from the rows (doc_id, text, label 0 or 1) that pick() gives."""
     examples = materialize(examples.select("doc_id", F.col("label").cast("long").alias("label"), F.col("text").cast("binary").alias("text")), "toxicity-examples")
-    vocabulary = _vocabulary(examples)
-    shared = examples.sparkSession.sparkContext.broadcast(vocabulary)
+    counts, n = _counts(examples)
+    counts = materialize(counts, "toxicity-terms")
+    best, least, model = None, np.inf, None
+    for tried in (SELECTIONS[:-1], SELECTIONS[-1:]):
+        if best not in (None, SELECTIONS[-2]):
+            break
+        found = _vectors(examples, counts, n, *tried[-1])
+        for selection in tried:
+            model = None  # one at a time in memory
+            model = _selected(found, n, *selection)
+            error = _calibrate(model, examples.sparkSession, -(-n // JUDGED)) if n else 0.0
+            if error < least:
+                best, least = selection, error
+    if best != selection:
+        model = None
+        model = _selected(found if best in tried else _vectors(examples, counts, n, *best), n, *best)
+    if n:
+        _calibrate(model, examples.sparkSession)
+    return model
+
+
+def _selected(found: tuple, n: int, floor: float, least: int) -> Model:
+    """The model over the terms of at least this G2 and number of examples."""
+    terms, docs, g2, vectors, labels, ids = found
+    keep = (g2 >= floor) & (docs >= least)
+    number = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
+    return Model(Vocabulary(terms[keep], docs[keep], n), [_part(v, number) for v in vectors], labels, ids)
+
 
-    def vectors(batches):
+def _vectors(examples: DataFrame, counts: DataFrame, n: int, floor: float, least: int) -> tuple:
+    """Terms in order with their examples and G2, and the examples' vectors over them, labels and ids by id."""
+    got = counts.filter((F.col("g2") >= floor) & (F.col("n") >= least)).toArrow()
+    terms = got.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, docs, g2 = terms[order], got.column("n").to_numpy()[order], got.column("g2").to_numpy()[order]
+    shared = examples.sparkSession.sparkContext.broadcast(Vocabulary(terms, docs, n))
+
+    def run(batches):
         for batch in batches:
             got = []
             texts = text_bytes(batch.column(2))
             for lo, hi in chunks(texts):
                 got += shared.value.vectors(texts[lo:hi])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([x for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "label", "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype(np.int32) for t, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "label", "terms", "weights"])
 
     kind = examples.schema["doc_id"].dataType.simpleString()
-    rows = examples.mapInArrow(vectors, f"doc_id {kind}, label long, terms array<long>, weights array<double>").toArrow().sort_by("doc_id")
-    pairs = [(np.array(t, np.int64), np.array(x)) for t, x in zip(rows.column("terms").to_pylist(), rows.column("weights").to_pylist(), strict=True)]
-    model = Model(vocabulary, pairs, rows.column("label").to_numpy().astype(float), np.array(rows.column("doc_id").to_pylist()))
-    if len(pairs):
-        _calibrate(model, examples.sparkSession)
-    return model
+    rows = examples.mapInArrow(run, f"doc_id {kind}, label long, terms array<int>, weights array<double>").toArrow().sort_by("doc_id")
+    shared.destroy()
+    cut = np.concatenate(([0], np.cumsum([len(t) for t in rows.column("terms")]))).tolist()
+    flat = [np.concatenate([c.flatten().to_numpy() for c in rows.column(name).chunks] + [np.zeros(0, kind)]) for name, kind in (("terms", np.int32), ("weights", float))]
+    vectors = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return terms, docs, g2, vectors, rows.column("label").to_numpy().astype(float), np.array(rows.column("doc_id").to_pylist())
+
+
+def _part(vector: tuple[np.ndarray, np.ndarray], number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector over the terms with a number, in these numbers; the others have -1."""
+    t = number[vector[0]]
+    t, x = t[t >= 0], vector[1][t >= 0]
+    return t, x / np.sqrt((x**2).sum()) if len(x) else x
 
 
-def _calibrate(model: Model, spark: SparkSession) -> None:
+def _calibrate(model: Model, spark: SparkSession, step: int = 1) -> float:
+    """Leave-one-out votes of every step-th example; their squared error."""
     shared = spark.sparkContext.broadcast(model)
 
     def votes(batches):
@@ -231,11 +289,12 @@ def _calibrate(model: Model, spark: SparkSession) -> None:
                 hits[b] += int(m.labels[i])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(hits)], names=["bin", "n", "hits"])
 
-    got = spark.range(len(model.labels)).mapInArrow(votes, "bin long, n long, hits long").groupBy("bin").agg(F.sum("n"), F.sum("hits")).collect()
+    got = spark.range(0, len(model.labels), step).mapInArrow(votes, "bin long, n long, hits long").groupBy("bin").agg(F.sum("n"), F.sum("hits")).collect()
     n, hits = np.zeros(BINS), np.zeros(BINS)
     for b, x, y in got:
         n[b], hits[b] = x, y
-    model.calibrate(n, hits)
+    shared.destroy()
+    return model.calibrate(n, hits)
 
 
 _EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))

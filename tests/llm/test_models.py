@@ -54,3 +54,20 @@ def test_judge_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     judged, rules = quality.judge(docs, labels)
     assert rules == [] and {r.doc_id: r.kept for r in judged.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_toxicity_learns_from_rare_words(spark):
+    """Each toxic word is in 3 of 144 examples, too few for a high G2; together they tell."""
+    rng = np.random.default_rng(3)
+    plain, bad = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)], [f"{chr(97 + i)}{chr(105 + i)}zzq" for i in range(14)]
+    text = lambda more: " ".join([*rng.choice(plain, 10, replace=False), *more])
+    rows = [(i, text([]), 0) for i in range(130)] + [(200 + i, text([bad[(i + j) % 14] for j in range(3)]), 1) for i in range(14)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    docs = spark.createDataFrame([(1, text([bad[2], bad[9]])), (2, text([bad[5], bad[12]])), (3, text([])), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
+    assert got[1] >= 0.5 and got[2] >= 0.5 and got[3] < 0.5 and got[4] < 0.5
+
+
+def test_toxicity_without_examples(spark):
+    model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
+    assert toxicity.score(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), model).first().toxicity == 0.5
