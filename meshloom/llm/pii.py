@@ -7,8 +7,8 @@ scored in rounds: a pattern's confidence is the score of its instances over all
 corpus, whatever follows it; an instance's score is the chance that one of its patterns is right. Instances
 in patterns of high confidence that no base span covers are new spans, of kind `context`.
 
-Patterns need at least `MIN_SUPPORT` instances and a share `SHARE` of all instances, so there are at most
-1 / SHARE of them, at any size of the corpus: only these go to the driver.
+Patterns need at least `MIN_SUPPORT` instances, at any size of the corpus. Joins are by shuffle, but keys with a
+share `SHARE` of the rows, of which there are few at any size, are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -144,22 +144,38 @@ def scan(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_
     return rows.select(*carry, "key", "base", F.when(some | (F.size("base") > 0), F.concat(seeds.cast(kind), tokens.cast(kind))).otherwise(F.array().cast(kind)).alias("found"))
 
 
-def occurrences(docs: DataFrame, patterns: list[str], *, text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, patterns: DataFrame, *, text: str = "text") -> DataFrame:
     """(pattern, total): how often each pattern's two lexemes stand side by side in the texts."""
     rows = docs.select(_lexemes(F.coalesce(F.col(text), F.lit(""))).alias("__l")).filter(F.size("__l") >= 2)
-    pairs = F.filter(F.zip_with("__l", F.slice("__l", 2, F.size("__l")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isin(patterns) if patterns else F.lit(False))
-    return rows.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
+    pairs = F.zip_with(F.slice("__l", 1, F.size("__l") - 1), F.slice("__l", 2, F.size("__l")), lambda a, b: F.concat(a, F.lit(" "), b))
+    totals = rows.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
+    return totals.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
-def bootstrap(graph: DataFrame, totals: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+def hot(graph: DataFrame, key: str) -> DataFrame:
+    """The keys with at least SHARE of the graph's rows or of their occurrences n: at most 2 / SHARE."""
+    rows, n = graph.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = graph.groupBy(key).agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    return materialize(sizes.filter((F.col("m") >= SHARE * rows) | (F.col("n") >= SHARE * n)).select(key), f"pii-hot-{key}")
+
+
+def _met(rows: DataFrame, table: DataFrame, key: str, often: DataFrame) -> DataFrame:
+    """rows joined with table, one row a key: keys in often by broadcast, the others by shuffle."""
+    often = F.broadcast(often)  # at most 2 / SHARE rows
+    few = rows.join(F.broadcast(table.join(often, key, "left_semi")), key)
+    return few.unionByName(rows.join(often, key, "left_anti").join(table.join(often, key, "left_anti"), key))
+
+
+def bootstrap(graph: DataFrame, totals: DataFrame, hot_patterns: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, confidence) of a graph (pattern, value, seed, n) and totals (pattern, total)."""
     score = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
-    edges, confidence = graph.select("pattern", "value", "n"), None
+    edges, confidence, hot_values = graph.select("pattern", "value", "n"), None, hot(graph, "value")
     for _ in range(rounds):
-        met = edges.join(score, "value").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("hits"))
+        score = materialize(score, "pii-score")
+        met = _met(edges, score, "value", hot_values).groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("hits"))
         confidence = materialize(met.join(totals, "pattern").select("pattern", F.least(F.lit(1.0), F.col("hits") / F.greatest("total", F.lit(1))).alias("confidence")), "pii-confidence")
         wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        reached = edges.join(confidence.filter(F.col("confidence") >= CONFIDENT), "pattern").groupBy("value").agg((1 - wrong).alias("reached"))
+        reached = _met(edges, confidence.filter(F.col("confidence") >= CONFIDENT), "pattern", hot_patterns).groupBy("value").agg((1 - wrong).alias("reached"))
         score = score.join(reached, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0))).alias("score"), "seed")
     return confidence
 
@@ -174,19 +190,14 @@ def find(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_
     scanned = materialize(scan(docs, text=text, carry=carry), "pii-scan")
     rows = scanned.filter(F.size("found") > 0).select("key", F.explode("found").alias("f")).select("key", "f.*").filter(F.col("pattern").isNotNull())
     graph = materialize(rows.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
-    total = graph.agg(F.count("*")).first()[0]
-    least = max(MIN_SUPPORT, int(SHARE * total))
-    support = graph.groupBy("pattern").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
-    patterns = sorted(r[0] for r in support.select("pattern").collect())  # at most 1 / SHARE
-    spans = scanned.select(*carry, "key", "base")
-    if patterns:
-        kept = graph.filter(F.col("pattern").isin(patterns))
-        sure = bootstrap(kept, occurrences(docs, patterns, text=text)).filter(F.col("confidence") >= CONFIDENT).select("pattern")
-        covered = rows.filter(~F.col("seed") | F.col("value").rlike(SECRET)).join(F.broadcast(sure), "pattern")  # at most 1 / SHARE rows
-        new = covered.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("more"))
-        spans = spans.join(new, "key", "left")
-    else:
-        spans = spans.withColumn("more", F.lit(None).cast(f"array<{_SPAN}>"))
+    support = materialize(graph.groupBy("pattern").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_SUPPORT).select("pattern"), "pii-patterns")
+    often = hot(graph, "pattern")
+    kept = materialize(_met(graph, support, "pattern", often), "pii-kept")
+    totals = materialize(occurrences(docs, support, text=text), "pii-totals")
+    sure = materialize(bootstrap(kept, totals, often).filter(F.col("confidence") >= CONFIDENT).select("pattern"), "pii-sure")
+    covered = _met(rows.filter(~F.col("seed") | F.col("value").rlike(SECRET)), sure, "pattern", often)
+    new = covered.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("more"))
+    spans = scanned.select(*carry, "key", "base").join(new, "key", "left")
     return spans.select(*carry, "key", F.concat("base", F.coalesce(F.col("more").cast(f"array<{_SPAN}>"), F.array().cast(f"array<{_SPAN}>"))).alias("spans"))
 
 

@@ -57,3 +57,15 @@ def test_base_spans(spark):
     for kind, piece in (("email", "a.b@c.de"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+49 30 1234567")):
         assert (kind, text.index(piece), text.index(piece) + len(piece)) in got[1]
     assert got[2] == []
+
+
+def test_patterns_do_not_depend_on_other_documents(spark):
+    """Six values after a sure pattern are found beside 14,500 other numbers, too."""
+    keys = [f"AKIA{'ABCDEFGH1234567'}{i}" for i in range(5)] + ["zz99999999"]
+    few = [(i, f"my key : {k} end", "s") for i, k in enumerate(keys)]
+    many = [(100 + i, " ".join(f"number {1000000 + 500 * i + j}" for j in range(500)), "s") for i in range(29)]
+    for rows in (few, few + many):
+        got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, DOCS)).collect()}
+        for i, k in enumerate(keys):
+            assert ("context", 9, 9 + len(k)) in got[i]
+        assert all(not got[i] for i in got if i >= 100)
