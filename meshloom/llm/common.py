@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,29 +24,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Tables that materialize() wrote and nothing deleted, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until purge() is called, as later plans may read them.
+    The files stay until the surrounding scratch() ends, as later plans may read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete every table that materialize() wrote in this shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm-tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *, keep: int = 0) -> Iterator[None]:
+    """At its end, delete the tables written inside it but the last `keep`: no plan may read the others any more."""
+    begin = len(_written)
+    yield
+    gone = _written[begin : len(_written) - keep]
+    del _written[begin : len(_written) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column, k: int) -> Column:
@@ -62,18 +77,13 @@ def added(schema: T.StructType, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([*schema.fields, *fields])
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null is empty."""
-    return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
-
-
-def chunks(texts: list[bytes], budget: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges whose texts have at most `budget` bytes together, or hold one text."""
+def text_chunks(column: pa.Array, budget: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 texts) of runs of rows with at most `budget` bytes together, or of one row; null is empty."""
+    binary = column.cast(pa.large_binary())
+    size = [n or 0 for n in pa.compute.binary_length(binary).to_pylist()]
     lo = total = 0
-    for i, t in enumerate(texts):
-        if i > lo and total + len(t) > budget:
-            yield lo, i
+    for i, n in enumerate([*size, budget + 1]):
+        if i > lo and total + n > budget:
+            yield lo, [b or b"" for b in binary.slice(lo, i - lo).to_pylist()]
             lo, total = i, 0
-        total += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        total += n

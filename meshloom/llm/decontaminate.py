@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, chunks, materialize, text_bytes, without
+from .common import added, materialize, text_chunks, without
 from .hashing import Rolling, edges, grams
 
 WINDOW, K = 13, 5
@@ -193,9 +193,9 @@ def _by_broadcast(docs: DataFrame, benchmark: DataFrame, text: str, window: int,
 
     def run(batches):
         for batch in batches:
-            texts, found = text_bytes(batch.column(batch.schema.get_field_index(text))), []
-            for lo, hi in chunks(texts):
-                found += index.value.search(texts[lo:hi])
+            found = []
+            for _, texts in text_chunks(batch.column(batch.schema.get_field_index(text))):
+                found += index.value.search(texts)
             yield _annotated(batch, found, _SPAN_SCHEMA)
 
     return docs.mapInArrow(run, added(docs.schema, _FOUND.fields))
@@ -206,9 +206,9 @@ def _kept_grams(frame: DataFrame, key: str, window: int, k: int, sizes: list[int
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for lo, hi in chunks(texts):
-                w = Words(texts[lo:hi])
+            keys = batch.column(0).to_pylist()
+            for lo, texts in text_chunks(batch.column(1)):
+                w = Words(texts)
                 room = w.room()
                 for size in sizes:
                     g = w.gram(k if size == window else size, room)
@@ -226,7 +226,7 @@ def _windows_at(frame: DataFrame, window: int, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys, texts, hits = batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()
+            keys, texts, hits = batch.column(0).to_pylist(), (t for _, part in text_chunks(batch.column(1)) for t in part), batch.column(2).to_pylist()
             for key, text, hit in zip(keys, texts, hits, strict=True):
                 words, rows = words_of(text), set()
                 for h in hit:
@@ -244,7 +244,7 @@ def _windows_at(frame: DataFrame, window: int, k: int) -> DataFrame:
 def _item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            for item, text in zip(batch.column(0).to_pylist(), (t for _, part in text_chunks(batch.column(1)) for t in part), strict=True):
                 words = words_of(text)
                 size = min(window, len(words))
                 part = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] if size else []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import added, text_bytes, without
+from .common import added, text_chunks, without
 
 #: Fixed values of the HTML standard: elements without an end tag; without text for readers; block elements;
 #: start tags that end an open paragraph; end tags that may be left out, closed by a sibling.
@@ -288,7 +288,7 @@ def main_text(pages: DataFrame, model: Model | None = None, *, column: str = "ht
 
     def run(batches):
         for batch in batches:
-            blocks = [extract(t.decode("utf-8", "replace"), shared.value) for t in text_bytes(batch.column(at))]
+            blocks = [extract(t.decode("utf-8", "replace"), shared.value) for _, texts in text_chunks(batch.column(at)) for t in texts]
             new = [pa.array(["\n\n".join(b) for b in blocks], pa.string()), pa.array([len(b) for b in blocks], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *new], names=[*(batch.schema.names[i] for i in keep), "text", "n_blocks"])
 

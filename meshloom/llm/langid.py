@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, chunks, text_bytes, without
+from .common import added, text_chunks, without
 from .hashing import edges
 
 DOCS_PER_LANG = 2000
@@ -173,15 +173,15 @@ def fit(labelled: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> Model:
         seen = np.zeros((len(langs), len(ORDERS), BUCKETS))
         letters = np.zeros((len(langs), N_SCRIPTS))
         for batch in batches:
-            texts, of = text_bytes(batch.column(0)), [index[x] for x in batch.column(1).to_pylist()]
-            for lo, hi in chunks(texts):
-                w = Words(texts[lo:hi])
-                for d in range(hi - lo):
+            of = [index[x] for x in batch.column(1).to_pylist()]
+            for lo, texts in text_chunks(batch.column(0)):
+                w = Words(texts)
+                for d in range(len(texts)):
                     a, b = int(w.offset[d]) - 1, int(w.offset[d + 1])
                     k = of[lo + d]
                     live = (w.symbols[a:b] > 0) | (np.concatenate(([0], w.symbols[a : b - 1])) > 0)
                     for i, n in enumerate(ORDERS):
-                        got = w.buckets(n)[a:b] if hi - lo == 1 else _cached(w, n)[a:b]
+                        got = w.buckets(n)[a:b] if len(texts) == 1 else _cached(w, n)[a:b]
                         seen[k, i] += np.bincount(got[w.symbols[a:b] > 0 if n == 1 else live], minlength=BUCKETS)
                     x, y = int(w.first[d]), int(w.last[d])
                     letters[k] += np.bincount(w.script[x:y], weights=w.end[x:y] - w.start[x:y], minlength=N_SCRIPTS)
@@ -224,9 +224,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", spans: bool =
 
     def run(batches):
         for batch in batches:
-            texts, found = text_bytes(batch.column(at)), []
-            for lo, hi in chunks(texts):
-                found += shared.value.predict(texts[lo:hi], spans)
+            found = []
+            for _, texts in text_chunks(batch.column(at)):
+                found += shared.value.predict(texts, spans)
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], kind)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *new], names=[*(batch.schema.names[i] for i in keep), "lang_pred", "lang_score", "lang_spans"])
 

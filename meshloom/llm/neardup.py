@@ -5,10 +5,10 @@
    one of the 15 buckets that two blocks' bits name. Buckets above `max_bucket` rows are dealt out again:
    very large ones by further blocks of the remaining bits, all others by pairs of chunks. Every pair still
    meets.
-3. Inside a bucket, fingerprints are sorted by Gray rank and a hierarchy is built over them: a node holds the
-   bits that all below it share and its parent doesn't hold yet. A search adds up the differences on the way
-   down and leaves a group as soon as they exceed `distance`, or once all of the group is linked to the
-   searched one already.
+3. A task sorts its rows by bucket and Gray rank and builds one hierarchy over them: a node holds the buckets
+   below it and the bits that all below it share and its parent doesn't hold yet. Every link comes from a
+   search of it, which adds up the differences on the way down and leaves a group as soon as they exceed
+   `distance`, the group is outside the bucket, or all of it is linked to the searched one already.
 4. A bucket gives one link from each member of a connected group to the group's smallest; the links of all
    buckets are then joined to components by alternating large-star and small-star steps.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, materialize, text_bytes, without
+from .common import added, materialize, text_chunks, without
 
 WORDS, DISTANCE, SEED = 4, 4, 42
 #: Bits of the six blocks, from the lowest.
@@ -65,7 +65,7 @@ def with_fingerprints(docs: DataFrame, *, text: str = "text", keep_text: bool =
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in text_bytes(batch.column(at))], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, words) for _, texts in text_chunks(batch.column(at)) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(fp)], names=[*(batch.schema.names[i] for i in keep), "fp"])
 
     return docs.mapInArrow(run, added(schema, [T.StructField("fp", T.LongType())]))
@@ -96,83 +96,83 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The hierarchy over sorted fingerprints. Level 0 holds the fingerprints, each level above groups of FANOUT."""
+    """The hierarchy over fingerprints sorted by bucket, then Gray rank.
+
+    Level 0 holds the fingerprints, each level above groups of FANOUT nodes: the first and last bucket below,
+    and the bits that all below share.
+    """
 
     FANOUT = 8
 
-    def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # shared bits' mask and pattern, bottom up
+    def __init__(self, bucket: np.ndarray, fps: np.ndarray):
+        order = np.lexsort((gray_rank(fps), bucket))
+        self.bucket, self.fps = bucket[order], fps[order]
         mask, pattern = np.full(len(fps), np.iinfo(np.uint64).max), self.fps
+        low = high = self.bucket
+        self.levels: list[tuple[np.ndarray, ...]] = []  # bottom up
         while True:
-            self.levels.append((mask, pattern))
+            self.levels.append((low, high, mask, pattern))
             if len(mask) <= self.FANOUT:
                 break
             at = np.arange(0, len(mask), self.FANOUT)
             size = np.minimum(self.FANOUT, len(mask) - at)
             first = np.repeat(pattern[at], size)
             mask = np.bitwise_and.reduceat(mask & ~(pattern ^ first), at)
-            pattern = pattern[at] & mask
+            pattern, low, high = pattern[at] & mask, low[at], high[at + size - 1]
+
+    def search(self, query: np.ndarray, label: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of fingerprints of the same bucket within `distance`; label may hide those with the query's own.
+
+        A group is left as soon as it is out of the query's bucket, the differences in the bits that its nodes
+        share exceed `distance`, or all of it has the query's label.
+        """
+        one = [label]  # per level: the label that all below have, or -1
+        for _ in self.levels[1:]:
+            at = np.arange(0, len(one[-1]), self.FANOUT)
+            low, high = np.minimum.reduceat(one[-1], at), np.maximum.reduceat(one[-1], at)
+            one.append(np.where(low == high, low, -1))
+        top = len(self.levels) - 1
+        roots_ = len(self.levels[top][0])
+        q, node = np.repeat(query, roots_), np.tile(np.arange(roots_), len(query))
+        acc, above = np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64)
+        for level in range(top, -1, -1):
+            low, high, mask, pattern = self.levels[level]
+            live = (low[node] <= self.bucket[q]) & (self.bucket[q] <= high[node]) & ((one[level][node] != label[q]) | (one[level][node] < 0))
+            q, node, acc, above = q[live], node[live], acc[live], above[live]
+            acc = acc + np.bitwise_count((self.fps[q] ^ pattern[node]) & mask[node] & ~above)
+            live = acc <= distance
+            q, node, acc = q[live], node[live], acc[live]
+            if level:
+                above = np.repeat(mask[node], self.FANOUT)
+                q, acc = np.repeat(q, self.FANOUT), np.repeat(acc, self.FANOUT)
+                node = (node[:, None] * self.FANOUT + np.arange(self.FANOUT)).ravel()
+                real = node < len(self.levels[level - 1][0])
+                q, node, acc, above = q[real], node[real], acc[real], above[real]
+        return q, node
 
     def groups(self, distance: int = DISTANCE, block: int = 256) -> np.ndarray:
-        """For each sorted fingerprint, the index of the first one in its connected group."""
-        n, top = len(self.fps), len(self.levels) - 1
-        label = np.arange(n)
-        for lo in range(0, n, block):
-            one = [label]  # per level: the label that all below share, or -1
-            for _ in range(top):
-                at = np.arange(0, len(one[-1]), self.FANOUT)
-                low, high = np.minimum.reduceat(one[-1], at), np.maximum.reduceat(one[-1], at)
-                one.append(np.where(low == high, low, -1))
-            query = np.arange(lo, min(n, lo + block))
-            q = np.repeat(query, len(self.levels[top][0]))
-            node = np.tile(np.arange(len(self.levels[top][0])), len(query))
-            acc, above = np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64)
-            for level in range(top, -1, -1):
-                mask, pattern = self.levels[level]
-                acc = acc + np.bitwise_count((self.fps[q] ^ pattern[node]) & mask[node] & ~above)
-                live = (acc <= distance) & ((one[level][node] != label[q]) | (one[level][node] < 0))
-                q, node, acc = q[live], node[live], acc[live]
-                if level:
-                    above = np.repeat(mask[node], self.FANOUT)
-                    q, acc = np.repeat(q, self.FANOUT), np.repeat(acc, self.FANOUT)
-                    node = (node[:, None] * self.FANOUT + np.arange(self.FANOUT)).ravel()
-                    real = node < len(self.levels[level - 1][0])
-                    q, node, acc, above = q[real], node[real], acc[real], above[real]
+        """For each place, the first place in its connected group."""
+        label = np.arange(len(self.fps))
+        for lo in range(0, len(label), block):
+            q, node = self.search(np.arange(lo, min(len(label), lo + block)), label, distance)
             if len(q):
-                a, b = label[q], label[node]
-                label = roots(n, a, b)[label]
+                label = roots(len(label), label[q], label[node])[label]
         return label
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, smallest fp of its group) inside the buckets of rows sorted by key. Smallness is unsigned."""
-    n = len(key)
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.zeros(0, int)
-    size = np.diff(np.concatenate((start, [n])))
-    bucket = np.repeat(np.arange(len(start)), size)
-    label, little = np.arange(n), np.repeat(size <= small, size)
-    a_all, b_all = [], []
-    for step in range(1, small):
-        a = np.flatnonzero(little[:-step] & (bucket[:-step] == bucket[step:])) if n > step else np.zeros(0, int)
-        if not len(a):
-            break
-        a = a[np.bitwise_count(fp[a] ^ fp[a + step]) <= distance]
-        a_all.append(a)
-        b_all.append(a + step)
-    if a_all:
-        label = roots(n, np.concatenate(a_all), np.concatenate(b_all))
-    fp = fp.copy()
-    for s, m in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
-        index = GrayIndex(np.unique(fp[s : s + m]))
-        fp[s : s + m] = np.concatenate((index.fps, np.full(m - len(index.fps), index.fps[-1])))
-        g = index.groups(distance)
-        label[s : s + m] = s + np.concatenate((g, np.full(m - len(g), g[-1])))
-    low = fp.copy()
-    np.minimum.at(low, label, fp)
+def bucket_links(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, smallest fp of its group) inside the buckets of rows sorted by key, all found in one index. Smallness is unsigned."""
+    if not len(key):
+        return fp, fp
+    bucket = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    more = np.bincount(bucket)[bucket] > 1  # a row alone in its bucket has no partner
+    index = GrayIndex(bucket[more], fp[more])
+    label = index.groups(distance) if more.any() else np.zeros(0, int)
+    low = index.fps.copy()
+    np.minimum.at(low, label, index.fps)
     low = low[label]
-    linked = fp != low
-    return fp[linked], low[linked]
+    linked = index.fps != low
+    return index.fps[linked], low[linked]
 
 
 def _links(rows: DataFrame, distance: int) -> DataFrame:
@@ -285,7 +285,9 @@ def _components(docs: DataFrame, text: str, distance: int, words: int, max_bucke
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = components(links(nodes.select("fp"), distance=distance, max_bucket=max_bucket))
     named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written by themselves, so that Spark can split the join of a component with very many fingerprints
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "component-ids")
     return own, named.join(least, "root").select("fp", "root", "component_id", "linked")
 
 

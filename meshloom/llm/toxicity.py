@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, chunks, materialize, text_bytes, without
+from .common import added, materialize, text_chunks, without
 from .hashing import Rolling, mix
 from .langid import Words
 
@@ -181,13 +181,13 @@ def _counts(examples: DataFrame) -> tuple[DataFrame, int]:
 
     def run(batches):
         for batch in batches:
-            label, texts = batch.column(1).to_numpy(zero_copy_only=False), text_bytes(batch.column(2))
-            for lo, hi in chunks(texts, 8 << 20):
-                doc, term = doc_terms(texts[lo:hi])
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, texts in text_chunks(batch.column(2), 8 << 20):
+                doc, term = doc_terms(texts)
                 order = np.lexsort((doc, term))
                 doc, term = doc[order], term[order]
                 new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))[: len(term)]
-                term, positive = term[new], label[lo:hi][doc[new]]
+                term, positive = term[new], label[lo + doc[new]]
                 uniq, at = np.unique(term, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(np.bincount(at, minlength=len(uniq))), pa.array(np.bincount(at, weights=positive, minlength=len(uniq)).astype(np.int64))], names=["term", "n", "hits"])
 
@@ -254,9 +254,8 @@ def _vectors(examples: DataFrame, counts: DataFrame, n: int, floor: float, least
     def run(batches):
         for batch in batches:
             got = []
-            texts = text_bytes(batch.column(2))
-            for lo, hi in chunks(texts):
-                got += shared.value.vectors(texts[lo:hi])
+            for _, texts in text_chunks(batch.column(2)):
+                got += shared.value.vectors(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.astype(np.int32) for t, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float64()))], names=["doc_id", "label", "terms", "weights"])
 
     kind = examples.schema["doc_id"].dataType.simpleString()
@@ -316,9 +315,9 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts, scores, evidence = text_bytes(batch.column(at)), [], []
-            for lo, hi in chunks(texts):
-                for vector in m.vocabulary.vectors(texts[lo:hi]):
+            scores, evidence = [], []
+            for _, texts in text_chunks(batch.column(at)):
+                for vector in m.vocabulary.vectors(texts):
                     share, near = m.vote(vector)
                     scores.append(m.calibrated(share))
                     evidence.append([{"doc_id": str(m.ids[r]), "cosine": c, "label": int(m.labels[r])} for r, c in near])

@@ -1,10 +1,11 @@
 """WARC archives: a writer and a sequential reader with bounded memory.
 
-Writing: each task writes one archive, one gzip member per record, under a name of its own, and gives its path
-to a manifest table. A lost or repeated task leaves a file that no manifest names. Equal payloads of at least
+Writing: each task writes archives, one gzip member per record, under names of their own, and gives their paths
+to a manifest table; an archive that has `archive_bytes` is closed and the next one begun, so an archive is a
+bounded unit of work. A lost or repeated task leaves files that no manifest names. Equal payloads of at least
 `least` bytes become one response (that of the largest page_id) and revisit records that refer to it.
 
-Reading: archives are opened through pyarrow's file systems and read in blocks. Each member is inflated by
+Reading: as many tasks as there are archives, an archive each. Archives are opened through pyarrow's file systems and read in blocks. Each member is inflated by
 zlib as its bytes come, headers are split off, the block is framed by Content-Length, and block and payload
 digests are recomputed. A reader holds one record at a time.
 """
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir
 
 READ_BYTES = 1 << 16
+#: Compressed bytes after which a writer closes an archive.
+ARCHIVE_BYTES = 1 << 30
+#: Bytes of records that a reader puts into one batch of rows.
+BATCH_BYTES = 4 << 20
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -116,8 +121,8 @@ def with_revisits(pages: DataFrame, *, least: int = LEAST_BYTES) -> DataFrame:
     return met.select("page_id", "url", "payload", F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, *, least: int = LEAST_BYTES) -> DataFrame:
-    """Write pages (page_id, url, html) as archives in folder, an address that pyarrow can open; gives the manifest (path, records).
+def write(pages: DataFrame, folder: str, *, least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write pages (page_id, url, html) as archives in folder, an address that pyarrow can open; gives the manifest (path, records, bytes).
 
     A null html is an empty payload; a null page_id is written as such and is never referred to while the
     equal pages have another. Rows that repeat the largest page_id with equal payloads are all responses.
@@ -125,20 +130,31 @@ def write(pages: DataFrame, folder: str, *, least: int = LEAST_BYTES) -> DataFra
     """
 
     def run(batches):
-        path, stream, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
+        path, stream, n, size = "", None, 0, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                page_id, url, payload, refers_to = (c[i].as_py() for c in batch.columns)  # one payload at a time
                 if stream is None:
+                    path, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     fs, name = pyarrow.fs.FileSystem.from_uri(path)
                     fs.create_dir(name.rpartition("/")[0], recursive=True)
                     stream = fs.open_output_stream(name)
-                stream.write(record_bytes(row["page_id"], row["url"], row["payload"], row["refers_to"]))
-                n += 1
+                data = record_bytes(page_id, url, payload, refers_to)
+                stream.write(data)
+                n, size = n + 1, size + len(data)
+                if size >= archive_bytes:
+                    stream.close()
+                    stream = None
+                    yield _manifest(path, n, size)
         if stream is not None:
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], names=["path", "records"])
+            yield _manifest(path, n, size)
 
-    return materialize(with_revisits(pages, least=least).mapInArrow(run, "path string, records long"), "warc-manifest")
+    return materialize(with_revisits(pages, least=least).mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+
+
+def _manifest(path: str, records: int, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records]), pa.array([size])], names=["path", "records", "bytes"])
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -162,14 +178,15 @@ def read(archives: DataFrame) -> DataFrame:
                     h, full = r.headers, r.headers["WARC-Type"] == "response"
                     rows.append((page(h["WARC-Record-ID"]), urllib.parse.unquote(h.get("WARC-Target-URI", "")), h["WARC-Type"], page(h.get("WARC-Refers-To")), len(r.payload) if full else int(r.http.get("content-length", 0)), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), r.payload if full else None))
                     size += len(r.block)
-                    if size > 4 << 20 or len(rows) >= 5000:
+                    if size > BATCH_BYTES or len(rows) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    # a file each, spread over the tasks
-    return archives.select("path").repartition("path").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    # a numbered repartition is not coalesced: a task for each archive
+    paths = archives.select("path")
+    return paths.repartition(max(1, paths.count())).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def new_folder(spark: SparkSession) -> str:
