@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The nodes of the model are the elements of a page's tree; each is content or not. A node's potential is a
-weighted sum of its features (its tag, words in its class and id, how much text and link text it holds), a
-parent-child potential weighs each pair of labels by the child's tag group. Sum-product messages, first from
+weighted sum of its features (its tag, words in its class and id, how much text and link text it holds, of its
+own and of the page's), a parent-child potential weighs each pair of labels by the child's tag group. Sum-product messages, first from
 the leaves up, then from the root down, give every node's marginal. Weights are trained by gradient ascent on
 the likelihood of labelled pages (training_pages()), whose content is marked in the source.
 
@@ -33,11 +33,15 @@ SCOPE = frozenset("table ul ol dl html body td th article section div nav aside"
 
 #: Words in class, id and role names that speak for or against content.
 AGAINST = "ad ads advert advertisement banner breadcrumb comment comments cookie consent copyright discussion footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert".split()
+#: Parts of such words that speak against content, too: topmenu, pagefooter.
+AGAINST_PARTS = re.compile("menu|footer|sidebar|banner|advert|cookie|newsletter|popup|navbar|navigation")
 FOR = "article articlebody body content entry main post story text prose".split()
 GROUPS = {"nav": "nav menu", "aside": "aside dialog", "foot": "footer address", "head": "header hgroup", "form": "form fieldset legend", "article": "article main", "heading": "h1 h2 h3 h4 h5 h6", "p": "p blockquote pre figcaption dd dt", "list": "ul ol dl dir", "item": "li", "table": "table tbody thead tfoot tr td th caption", "box": "div section center details summary figure search", "root": "html body"}
 GROUP_OF = {t: g for g, tags in GROUPS.items() for t in tags.split()}
 GROUP_NAMES = [*GROUPS, "inline", "silent"]
-FEATURES = [*(f"tag {g}" for g in GROUP_NAMES), "class against", "class for", "link share high", "link share some", "text none", "text short", "text long", "in against", "bias"]
+FEATURES = [*(f"tag {g}" for g in GROUP_NAMES), "class against", "class both", "class for", "link share high", "link share some", "text none", "text short", "text long", "own text", "own text long", "page half", "page most", "against most", "in against", "bias"]
+#: Elements whose class speaks of the whole page or of all of its content, not of a part.
+WHOLE = frozenset("html body main article".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"[\s]+")
 
@@ -59,8 +63,9 @@ class Tree(HTMLParser):
         self.nodes = [Node("html", {}, -1)]
         self.open = [0]
         self.runs: list[tuple[int, str]] = []  # (element, text); a br is white space
-        self.marked = False
+        self.marked = self.ending = False
         self.feed(source)
+        self.ending = True
         self.close()
         if self.rawdata:  # a tag that the page's end cuts off is markup, not text
             self.rawdata = ""
@@ -81,6 +86,19 @@ class Tree(HTMLParser):
         self.nodes.append(node)
         self.open.append(len(self.nodes) - 1)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._to_end(super().parse_comment(i, report))
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._to_end(super().parse_html_declaration(i))
+
+    def parse_pi(self, i: int) -> int:
+        return self._to_end(super().parse_pi(i))
+
+    def _to_end(self, at: int) -> int:
+        """A comment or declaration that the page's end cuts off goes on to the end."""
+        return len(self.rawdata) if at < 0 and self.ending else at
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -100,6 +118,8 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if data:
             self.runs.append((self.open[-1], data))
+            if self.marked and not data.isspace():
+                self.nodes[self.open[-1]].content = True
 
     def handle_comment(self, data: str) -> None:
         if data in ("content", "/content"):  # marks of labelled pages
@@ -122,31 +142,45 @@ def features(tree: Tree) -> np.ndarray:
     link = [False] * len(nodes)
     for i, n in enumerate(nodes):
         link[i] = n.tag == "a" or (n.parent >= 0 and link[n.parent])
+    own = [0] * len(nodes)
     for i, data in tree.runs:
         if not silent[i]:
             size = len(data) - data.count(" ") - data.count("\n")
             nodes[i].text += size
             nodes[i].links += size * link[i]
+            own[i] += size
     for n in reversed(nodes[1:]):
         nodes[n.parent].text += n.text
         nodes[n.parent].links += n.links
+    page = max(1, nodes[0].text - nodes[0].links)
     against, out = [False] * len(nodes), np.zeros((len(nodes), len(FEATURES)))
     at = {f: i for i, f in enumerate(FEATURES)}
     for i, n in enumerate(nodes):
+        most = (n.text - n.links) / page
         group = "silent" if silent[i] else GROUP_OF.get(n.tag, "inline")
-        names = {w.lower() for k in ("class", "id", "role", "aria-label", "itemprop") for w in _NAME.findall(n.attrs.get(k) or "")} if n.attrs else set()
-        bad = group in ("nav", "aside", "foot", "form", "head") or not names.isdisjoint(AGAINST)
+        whole = n.tag in WHOLE
+        if group == "form" and most > 0.5:  # a form around the page
+            group, whole = "box", True
+        names = {w.lower() for k in ("class", "id", "role", "aria-label", "itemprop") for w in _NAME.findall(n.attrs.get(k) or "")} if n.attrs and not whole else set()
+        speaks, favours = not names.isdisjoint(AGAINST) or any(map(AGAINST_PARTS.search, names)), not names.isdisjoint(FOR)
+        bad = group in ("nav", "aside", "foot", "form", "head") or (speaks and not favours)
         share = n.links / n.text if n.text else 0.0
         against[i] = bad or (i > 0 and against[n.parent])
         row = out[i]
         row[at[f"tag {group}"]] = 1
-        row[at["class against"]] = not names.isdisjoint(AGAINST)
-        row[at["class for"]] = not names.isdisjoint(FOR)
+        row[at["class against"]] = speaks and not favours
+        row[at["class both"]] = speaks and favours
+        row[at["class for"]] = favours and not speaks
         row[at["link share high"]] = share > 0.6
         row[at["link share some"]] = 0.25 < share <= 0.6
         row[at["text none"]] = n.text == 0
         row[at["text short"]] = 0 < n.text < 40
         row[at["text long"]] = n.text >= 200
+        row[at["own text"]] = own[i] > 0
+        row[at["own text long"]] = own[i] >= 100
+        row[at["page half"]] = most > 0.4
+        row[at["page most"]] = most > 0.8
+        row[at["against most"]] = speaks and most > 0.6
         row[at["in against"]] = i > 0 and against[n.parent]
         row[at["bias"]] = 1
     return out
@@ -228,11 +262,16 @@ def extract(source: str, model: Model) -> list[str]:
         return []
     tree = Tree(source)
     block, silent = block_of(tree.nodes)
-    p, _, _ = model.marginals(tree, features(tree))
+    x = features(tree)
+    p, _, _ = model.marginals(tree, x)
+    named = x[:, FEATURES.index("class against")] > 0
+    cut = [False] * len(p)  # inside an inline element, like an advert, that its class speaks against
+    for i, n in enumerate(tree.nodes):
+        cut[i] = n.tag not in BLOCK and ((named[i] and p[i] <= 0.5) or cut[max(n.parent, 0)])
     blocks: list[tuple[int, list[str]]] = []
     for i, data in tree.runs:
         b = block[i]
-        if silent[i] or p[b] <= 0.5 or p[i] <= 0.5:
+        if silent[i] or cut[i] or p[b] <= 0.5:
             continue
         if not blocks or blocks[-1][0] != b:
             blocks.append((b, []))
@@ -252,19 +291,21 @@ def training_pages() -> tuple[str, ...]:
     def links(k: int, n: int) -> str:
         return "".join(f'<li><a href="/{i}">{words[(k + i) % len(words)]} {words[(k + 2 * i) % len(words)]}</a></li>' for i in range(n))
 
-    tops = ["<nav><ul>{links}</ul></nav>", '<header class="site-header"><a href="/">Home</a><p>{short}</p></header>', '<div id="menu"><ul>{links}</ul></div>', '<div class="navbar"><a href="/a">News</a> <a href="/b">Sport</a></div>', '<div class="cookie-notice"><p>{mid}</p><button>OK</button></div>', '<div class="ad">{short}</div>', '<div class="advert"><p>{mid}</p></div>', '<header><h1><a href="/">{short}</a></h1><nav>{short}</nav></header>', '<div class="breadcrumb"><a href="/">Home</a> &gt; <a href="/x">Here</a></div>', '<form action="/s"><label>Search</label><input name="q"><p>{short}</p></form>']
-    tails = ["<footer>&copy; 2020 &middot; {mid}</footer>", "<aside><h3>{short}</h3><p>{mid}</p><ul>{links}</ul></aside>", '<div class="sidebar"><h2>{short}</h2><p>{mid}</p></div>', '<section id="comments"><h2>Comments</h2><div class="comment"><p>{long}</p></div><div class="comment"><p>{mid}</p></div></section>', '<div class="related"><h3>More</h3><ul>{links}</ul></div>', '<div class="footer"><p>{mid}</p></div>', '<form class="signup"><p>{mid}</p><input type="email"></form>', '<div class="share"><a href="/f">Share</a> <a href="/t">Post</a></div>', '<div class="promo-box"><p>{mid}</p></div>', '<ol class="comment-list"><li><p>{long}</p></li><li><p>{mid}</p></li></ol>']
-    wraps = ["<!--content--><article>{body}</article><!--/content-->", '<!--content--><main><div class="post-content">{body}</div></main><!--/content-->', '<!--content--><div class="content">{body}</div><!--/content-->', '<div class="wrapper"><!--content--><div id="story">{body}</div><!--/content--></div>', "<!--content-->{body}<!--/content-->", "<div><div><!--content--><article><section>{body}</section></article><!--/content--></div></div>", '<main><!--content--><article class="entry">{body}</article><!--/content--></main>']
+    tops = ["<nav><ul>{links}</ul></nav>", "<ul>{links}</ul>", '<div class="top"><ul>{links}</ul></div>', '<header class="site-header"><a href="/">Home</a><p>{short}</p></header>', '<div id="menu"><ul>{links}</ul></div>', '<div class="navbar"><a href="/a">News</a> <a href="/b">Sport</a></div>', '<div class="cookie-notice"><p>{any}</p><button>OK</button></div>', '<div class="ad">{any}</div>', '<div class="advert"><p>{any}</p></div>', '<header><h1><a href="/">{short}</a></h1><nav>{short}</nav></header>', '<div class="breadcrumb"><a href="/">Home</a> &gt; <a href="/x">Here</a></div>', '<form action="/s"><label>Search</label><input name="q"><p>{short}</p></form>']
+    tails = ["<footer>&copy; 2020 &middot; {any}</footer>", "<aside><h3>{short}</h3><p>{any}</p><ul>{links}</ul></aside>", '<div class="sidebar"><h2>{short}</h2><p>{any}</p></div>', '<section id="comments"><h2>Comments</h2><div class="comment"><p>{long}</p></div><div class="comment"><p>{any}</p></div></section>', '<div class="related"><h3>More</h3><ul>{links}</ul></div>', '<div class="footer"><p>{any}</p></div>', '<form class="signup"><p>{any}</p><input type="email"></form>', '<div class="share"><a href="/f">Share</a> <a href="/t">Post</a></div>', '<div class="promo-box"><p>{any}</p></div>', '<ol class="comment-list"><li><p>{long}</p></li><li><p>{any}</p></li></ol>', '<div class="comments"><h3>{short}</h3><div class="comment"><p>{long}</p></div><div class="comment"><p>{long}</p></div><div class="comment"><p>{long}</p></div></div>']
+    wraps = ["<!--content--><article>{body}</article><!--/content-->", '<!--content--><main><div class="post-content">{body}</div></main><!--/content-->', '<!--content--><div class="content">{body}</div><!--/content-->', '<div class="wrapper"><!--content--><div id="story">{body}</div><!--/content--></div>', "<!--content-->{body}<!--/content-->", "<div><div><!--content--><article><section>{body}</section></article><!--/content--></div></div>", '<form id="pageForm" action="/"><input type="hidden" name="s"><div id="main"><!--content-->{body}<!--/content--></div></form>', '<section class="widget-content"><!--content-->{body}<!--/content--></section>', '<!--content--><section class="content-widget">{body}</section><!--/content-->', '<div id="page-header-wrap"><div class="col"><!--content-->{body}<!--/content--></div></div>', '<table><tr><td><!--content-->{body}<!--/content--></td></tr></table>', '<main><!--content--><article class="entry">{body}</article><!--/content--></main>']
     inner = ["", "<!--/content--><aside><p>{mid}</p></aside><!--content-->", '<!--/content--><div class="ad-slot"><p>{short}</p></div><!--content-->', '<!--/content--><div class="newsletter-signup"><form><p>{mid}</p></form></div><!--content-->', '<!--/content--><nav><a href="#a">Part</a></nav><!--content-->']
-    bodies = ["<h1>{short}</h1><p>{long}</p><p>{mid} <a href='/r'>{short}</a> {mid}</p>{in}<p>{long}</p>", "<h1>{short}</h1><p><b>{short}<br><p>{long}</p>{in}<h2>{short}</h2><ul><li>{mid}</li><li>{short}</li></ul><p>{mid}</p>", "<header><h1>{short}</h1></header><p>{long}</p>{in}<blockquote><p>{mid}</p></blockquote><table><tr><td>{short}</td><td>{short}</td></tr></table>", "<p>{short}</p>{in}<p>{long}</p><pre>{mid}</pre><ol><li>{mid}</li></ol>", "<h1>{short}</h1><div>{long}</div>{in}<div>{mid}</div>", "<h1>{short}</h1><p>{short}</p>"]
-    pages = []
-    for k in range(70):
+    bodies = ["<h1>{short}</h1><p>{long}</p><p>{mid} <a href='/r'>{short}</a> {mid}</p>{in}<p>{long}</p>", "<h1>{short}</h1><p><b>{short}<br><p>{long}</p>{in}<h2>{short}</h2><ul><li>{mid}</li><li>{short}</li></ul><p>{mid}</p>", "<header><h1>{short}</h1></header><p>{long}</p>{in}<blockquote><p>{mid}</p></blockquote><table><tr><td>{short}</td><td>{short}</td></tr></table>", "<p>{short}</p>{in}<p>{long}</p><pre>{mid}</pre><ol><li>{mid}</li></ol>", "<h1>{short}</h1><div>{long}</div>{in}<div>{mid}</div>", "<h1>{short}</h1><p>{short}</p>", "<h2>{short}</h2>{long}<br><br>{mid}{in}", "<h1>{short}</h1><p>{mid}</p>{in}<dl><dt>{short}</dt><dd>{mid}</dd></dl><p>{long} {long} {long}</p>"]
+    starts = ["<body>", '<body class="menu-open">', '<body class="has-sidebar header-fixed" id="top">', "<body>"]
+    pages = [f"<!--content-->{sentence(k, 30 + 20 * k)}<!--/content-->" for k in range(3)]  # no tags at all
+    pages += [f"<!--content--><p>{sentence(k, 20)}<p>{sentence(k + 1, 9 * k + 5)}<!--/content-->" for k in range(3)]
+    for k in range(144):
         top, tail, wrap, body = tops[k % len(tops)], tails[(k * 3 + k // 10) % len(tails)], wraps[k % len(wraps)], bodies[(k + k // 6) % len(bodies)]
         parts = (tops[(k * 7 + 3) % len(tops)] if k % 3 else "", top, wrap.replace("{body}", body.replace("{in}", inner[(k // 2) % len(inner)])), tail, tails[(k * 5 + 1) % len(tails)] if k % 2 else "")
-        page = "<html><head><title>{short}</title><style>p{}</style></head><body>" + "".join(parts) + "<script>var t='<p>x</p>';</script></body></html>"
-        for i, (name, n) in enumerate((("{short}", 4), ("{mid}", 14), ("{long}", 60))):
+        page = "<html><head><title>{short}</title><style>p{}</style></head>" + starts[(k // 5) % len(starts)] + "".join(parts) + "<script>var t='<p>x</p>';</script></body></html>"
+        for i, (name, n) in enumerate((("{short}", 4), ("{mid}", 14), ("{long}", 60), ("{any}", 3 + k * 11 % 50))):
             while name in page:
-                page = page.replace(name, sentence(k + i + len(page), n), 1)
+                page = page.replace(name, sentence(k + i + len(page), n + (k + len(page)) % (1 + n // 2)), 1)
         pages.append(page.replace("{links}", links(k, 5)))
     return tuple(pages)
 

@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in Spark functions only.
 
 Four kinds with a fixed form (e-mail, IP address, card and phone numbers) are found first. They and other
-tokens with a digit are instances; the two lexemes (letters, digits or one sign) before an instance are a
-pattern. Seeds are the four kinds and tokens of a secret's form. Patterns and instances make a graph that is
+tokens with a digit, of any length, are instances: token characters, joined by single `-`, `.`, `/` or, between
+digits, spaces. The two lexemes (letters, digits or one sign) before an instance are a pattern, however far
+before it they stand. Seeds are the four kinds and tokens of a secret's form. Patterns and instances make a graph that is
 scored in rounds: a pattern's confidence is the score of its instances over all its occurrences in the
 corpus, whatever follows it; an instance's score is the chance that one of its patterns is right. Instances
 in patterns of high confidence that no base span covers are new spans, of kind `context`.
@@ -21,10 +22,11 @@ from .common import materialize, without
 KINDS = ("email", "ip", "card", "phone", "context")
 MIN_SUPPORT, SHARE = 5, 5e-4
 ROUNDS, CONFIDENT = 3, 0.5
-#: Code points before an instance in which its pattern's lexemes are sought.
-BEFORE = 48
-#: Code points of the shortest token that is an instance.
-SHORTEST = 6
+#: Code points before an instance in which its pattern's lexemes are sought first; if they may begin before
+#: them, the next number counts, and at last the whole text before the instance.
+NEAR = (48, 1024, 16384)
+#: Bytes of patterns up to which they are broadcast against the corpus's lexeme pairs.
+PATTERN_BYTES = 16 << 20
 #: Stands for a dot or a separator between two characters of a match; in texts it is mapped to OTHER first.
 MARK, OTHER = "\ue000", "\ue001"
 #: Tokens of this form are seeds, too.
@@ -80,7 +82,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     right kind is mapped to MARK first, and repetition is over single characters only. Each pattern starts
     where a leftmost match can start.
     """
-    plain = F.translate(text, MARK, OTHER)
+    plain = F.replace(text, F.lit(MARK), F.lit(OTHER))
     dotted = F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
     local = rf"A-Za-z0-9._%+\-{MARK}"
     email = rf"(?:\G|(?<![{local}]))[{local}]++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9{MARK}-]++"
@@ -92,10 +94,12 @@ def base_spans(text: Column) -> dict[str, Column]:
     small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("000"), F.ltrim(p, F.lit("0"))), F.lit(3)).cast("int") <= 255)
     parts = lambda v: F.forall(F.split(v, r"\."), small)
     count = lambda v: F.length(_digits(v))
+    # a cheap look for what every match holds comes before each search
+    has = lambda p: F.regexp_like(text, F.lit(p))
     return {
         "email": F.when(F.contains(text, F.lit("@")), _positions(dotted, email)).otherwise(none),
-        "ip": F.filter(_positions(plain, ip), lambda m: parts(m["value"])),
-        "card": F.filter(_positions(joined, card), lambda m: F.when(count(m["value"]).between(13, 19), _luhn(m["value"])).otherwise(False)),
+        "ip": F.when(has(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), F.filter(_positions(plain, ip), lambda m: parts(m["value"]))).otherwise(none),
+        "card": F.when(has(r"(?:[0-9][\x20-]?){12}[0-9]"), F.filter(_positions(joined, card), lambda m: F.when(count(m["value"]).between(13, 19), _luhn(m["value"])).otherwise(False))).otherwise(none),
         "phone": F.when(F.contains(text, F.lit("+")), F.filter(_positions(plain, phone), lambda m: count(m["value"]).between(9, 15))).otherwise(none),
     }
 
@@ -105,22 +109,37 @@ def _lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), "[0-9]+", "9"), F.lit(_LEXEME), F.lit(0))
 
 
-def _pattern(before: Column) -> Column:
-    """The two lexemes at the end of what stands before an instance; null if there are fewer."""
-    got = _lexemes(before)
-    n = F.size(got)
-    return F.when(n >= 2, F.concat_ws(" ", F.get(got, n - 2), F.get(got, n - 1)))
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-#: Tokens with a digit: they start where no token character stands before, and hold a digit.
-_TOKEN = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]++(?=[^A-Za-z0-9_]|$)"
+def _pattern(text: Column, start: Column) -> Column:
+    """The two lexemes before start (0-based); null if there are fewer."""
+
+    def last(got: Column) -> Column:
+        return F.when(F.size(got) >= 2, F.concat_ws(" ", F.get(got, F.size(got) - 2), F.get(got, F.size(got) - 1)))
+
+    def within(n: int, farther: Column) -> Column:
+        near = _lexemes(F.substr(text, F.greatest(start - n + 1, F.lit(1)).cast("int"), F.least(start, F.lit(n)).cast("int")))
+        # the first lexeme may be cut, so three of them tell the last two
+        return _let(near, lambda got: F.when((start <= n) | (F.size(got) >= 3), last(got)).otherwise(farther))
+
+    out = _let(_lexemes(F.substr(text, F.lit(1), start.cast("int"))), last)
+    for n in reversed(NEAR):
+        out = within(n, out)
+    return out
+
+
+#: Tokens with a digit, in texts whose joining signs are MARKs.
+_TOKEN = rf"(?<![A-Za-z0-9_{MARK}])(?=[A-Za-z_{MARK}]*+[0-9])[A-Za-z0-9_{MARK}]++"
+_JOINT = r"(?<=[A-Za-z0-9_])[./-](?=[A-Za-z0-9_])|(?<=[0-9])\x20(?=[0-9])"
 
 
 def _instances(text: Column) -> Column:
     """Tokens with a digit and their pattern: (start, end, value, pattern)."""
-    rows = _positions(text, _TOKEN)
-    long = F.filter(rows, lambda r: F.length(r["value"]) >= SHORTEST)
-    return F.transform(long, lambda r: F.struct(r["start"], r["end"], r["value"], _pattern(F.substr(text, F.greatest(r["start"] - BEFORE + 1, F.lit(1)).cast("int"), F.least(r["start"], F.lit(BEFORE)).cast("int"))).alias("pattern")))
+    rows = _positions(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), _JOINT, MARK), _TOKEN)
+    return F.transform(rows, lambda r: F.struct(r["start"], r["end"], r["value"], _pattern(text, r["start"]).alias("pattern")))
 
 
 def scan(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -136,20 +155,22 @@ def scan(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_
     base = F.concat(*[named(k) for k in KINDS[:4]])
     some = F.regexp_like("__t", F.lit("[0-9]"))
     rows = rows.select(*carry, F.sha2(F.col("__t").cast("binary"), 256).alias("key"), base.cast(f"array<{_SPAN}>").alias("base"), "__t", *KINDS[:4])
-    seeds = F.concat(*[F.transform(k, lambda m: F.struct(m["start"], m["end"], F.translate(m["value"], MARK, ".").alias("value"), _pattern(F.substr("__t", F.greatest(m["start"] - BEFORE + 1, F.lit(1)).cast("int"), F.least(m["start"], F.lit(BEFORE)).cast("int"))).alias("pattern"), F.lit(True).alias("seed"))) for k in KINDS[:4]])
+    seeds = F.concat(*[F.transform(k, lambda m: F.struct(m["start"], m["end"], F.translate(m["value"], MARK, ".").alias("value"), _pattern(F.col("__t"), m["start"]).alias("pattern"), F.lit(True).alias("seed"))) for k in KINDS[:4]])
     # without its base spans a text's tokens are those that no base span touches
     tokens = F.filter(_instances(F.col("__t")), lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     tokens = F.transform(tokens, lambda r: F.struct(r["start"], r["end"], r["value"], r["pattern"], F.regexp_like(r["value"], F.lit(SECRET)).alias("seed")))
     kind = "array<struct<start:long,end:long,value:string,pattern:string,seed:boolean>>"
-    return rows.select(*carry, "key", "base", F.when(some | (F.size("base") > 0), F.concat(seeds.cast(kind), tokens.cast(kind))).otherwise(F.array().cast(kind)).alias("found"))
+    return rows.select(*carry, "key", "base", F.concat(F.when(F.size("base") > 0, seeds.cast(kind)).otherwise(F.array().cast(kind)), F.when(some, tokens.cast(kind)).otherwise(F.array().cast(kind))).alias("found"))
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, *, text: str = "text") -> DataFrame:
     """(pattern, total): how often each pattern's two lexemes stand side by side in the texts."""
     rows = docs.select(_lexemes(F.coalesce(F.col(text), F.lit(""))).alias("__l")).filter(F.size("__l") >= 2)
     pairs = F.zip_with(F.slice("__l", 1, F.size("__l") - 1), F.slice("__l", 2, F.size("__l")), lambda a, b: F.concat(a, F.lit(" "), b))
-    totals = rows.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    return totals.join(patterns.select("pattern"), "pattern", "left_semi")
+    every, wanted = rows.select(F.explode(pairs).alias("pattern")), patterns.select("pattern")
+    if (wanted.agg(F.sum(F.length("pattern") + 64)).first()[0] or 0) <= PATTERN_BYTES:  # only wanted pairs are counted
+        return every.join(F.broadcast(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    return every.groupBy("pattern").agg(F.count("*").alias("total")).join(wanted, "pattern", "left_semi")
 
 
 def hot(graph: DataFrame, key: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Quality rules: a learned decision list over text statistics, in Spark functions only.
 
 Sequential covering: rules are conjunctions of thresholds that single out poor documents. Half of the
-labelled examples grow a rule, adding the condition of highest gain until it covers poor ones almost only;
-the other half prunes it, dropping last conditions while that doesn't lower its worth. A rule is kept if it
-is precise on the second half; the examples it covers are set aside, and the next rule is learned. Each step
-is one aggregation over the examples. The list becomes one ordered CASE expression.
+labelled examples grow a rule, adding the condition of highest gain until it covers poor ones only; thresholds
+are sought between all neighbouring values of the examples that the rule covers so far. The other half prunes
+it, dropping last conditions while that doesn't lower its worth. A rule is kept if it is precise on the second
+half; the examples it covers are set aside, and the next rule is learned. Each step is one query over the
+examples. The list becomes one ordered CASE expression.
 
 Rules are learned from at most `EXAMPLES` labelled documents (those with the smallest hash of their id).
 """
@@ -14,16 +15,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize
+from .common import ASCII_SPACE, materialize, scratch
 
 EXAMPLES = 20_000
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
-CUTS, MAX_RULES, MAX_CONDITIONS = 16, 8, 3
 PRECISION, MIN_COVER = 0.9, 5
 #: Thresholds are learned over these columns of statistics().
 FEATURES = ("word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "punct_share", "line_words", "distinct_share")
@@ -83,16 +83,14 @@ def statistics(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
 
 @dataclass(frozen=True)
 class Condition:
-    """A threshold: the feature's value is above, or not above, the cut of that number."""
+    """A threshold: the feature's value is above, or not above, the cut."""
 
-    feature: int
+    feature: str
     above: bool
-    number: int
     cut: float
 
     def column(self) -> Column:
-        value = F.col(FEATURES[self.feature])
-        return value > self.cut if self.above else value <= self.cut
+        return F.col(self.feature) > self.cut if self.above else F.col(self.feature) <= self.cut
 
 
 Rule = tuple[Condition, ...]
@@ -113,19 +111,6 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def _tally(rows: DataFrame, cuts: list[list[float]]) -> dict[Condition, tuple[int, int]]:
-    """(poor, good) rows that each condition holds for, from one count by feature and interval between cuts."""
-    got = rows.select("poor", F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin", "poor").count().collect()
-    cells = {(r["feature"], r["bin"], r["poor"]): r["count"] for r in got}
-    out = {}
-    for f, own in enumerate(cuts):
-        for i, cut in enumerate(own):
-            for above in (True, False):
-                bins = range(i + 1, len(own) + 1) if above else range(i + 1)
-                out[Condition(f, above, i, cut)] = tuple(sum(cells.get((f, b, p), 0) for b in bins) for p in (1, 0))
-    return out
-
-
 def _totals(rows: DataFrame, tests: list[Column]) -> list[tuple[int, int]]:
     """(poor, good) rows that each test holds for."""
     sums = [F.coalesce(F.sum((t & (F.col("poor") == p)).cast("long")), F.lit(0)).alias(f"c{i}_{p}") for i, t in enumerate(tests) for p in (1, 0)]
@@ -133,42 +118,56 @@ def _totals(rows: DataFrame, tests: list[Column]) -> list[tuple[int, int]]:
     return [(got[f"c{i}_1"], got[f"c{i}_0"]) for i in range(len(tests))]
 
 
+def _best(rows: DataFrame, poor: int, good: int) -> tuple[Condition, int, int] | None:
+    """The condition of highest gain on rows with so many poor and good ones, and the (poor, good) rows it holds for.
+
+    Cuts lie halfway between every two neighbouring values of a feature among the rows. Values are counted
+    first; the windows then run over a feature's distinct values, at most EXAMPLES.
+    """
+    cells = rows.select("poor", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in FEATURES])).alias("x"))
+    cells = cells.groupBy("x.feature", "x.value").agg(F.sum("poor").alias("p"), F.sum(1 - F.col("poor")).alias("g"))
+    along = Window.partitionBy("feature").orderBy("value")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.select("feature", "value", F.lead("value").over(along).alias("following"), F.sum("p").over(upto).alias("p"), F.sum("g").over(upto).alias("g")).filter(F.col("following").isNotNull())
+    middle = F.col("value") + (F.col("following") - F.col("value")) / 2
+    sides = F.array(*[F.struct(F.lit(above).alias("above"), (poor - F.col("p") if above else F.col("p")).alias("p"), (good - F.col("g") if above else F.col("g")).alias("g")) for above in (False, True)])
+    tried = cells.select("feature", F.when(middle < F.col("following"), middle).otherwise(F.col("value")).alias("cut"), F.explode(sides).alias("side")).select("feature", "cut", "side.*")
+    gain = F.col("p") * (F.log2(F.col("p") / (F.col("p") + F.col("g"))) - math.log2(poor / (poor + good)))
+    found = tried.filter((F.col("p") >= MIN_COVER) & (F.col("g") < good)).withColumn("gain", gain).filter("gain > 0").orderBy(F.desc("gain"), "feature", "cut", "above").first()
+    return found and (Condition(found["feature"], found["above"], found["cut"]), found["p"], found["g"])
+
+
 def learn(examples: DataFrame, *, precision: float = PRECISION) -> list[Rule]:
-    """Rules from examples with FEATURES, poor (0 or 1) and grow (whether it grows or prunes). No examples give no rules."""
-    asked = examples.agg(*[F.percentile_approx(f, [i / CUTS for i in range(1, CUTS)], 10_000).alias(f) for f in FEATURES]).first()
-    cuts = [sorted({float(c) for c in asked[f] or ()}) for f in FEATURES]
-
-    def below(feature: str, own: list[float]) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, own)), lambda c: c < F.col(feature))) if own else F.lit(0)
-
-    binned = F.array(*[below(f, own) for f, own in zip(FEATURES, cuts, strict=True)])
-    examples = materialize(examples.withColumn("bins", binned), "quality-examples")
-    rules: list[Rule] = []
-    left = F.lit(True)
-    while len(rules) < MAX_RULES:
-        rule: Rule = ()
-        growing, pruning = examples.filter(left & F.col("grow")), examples.filter(left & ~F.col("grow"))
-        ((poor, good),) = _totals(growing, [F.lit(True)])
-        while poor >= MIN_COVER and good and len(rule) < MAX_CONDITIONS and poor < 0.99 * (poor + good):
-            before = math.log2(poor / (poor + good))
-            tally = {c: n for c, n in _tally(growing.filter(_holds(rule)), cuts).items() if n[0] >= MIN_COVER}
-            gain = {c: p * (math.log2(p / (p + g)) - before) for c, (p, g) in tally.items()}
-            best = max(gain, key=lambda c: (gain[c], -c.feature, -c.number, c.above), default=None)
-            if best is None or gain[best] <= 0:
-                break
-            rule = (*rule, best)
-            poor, good = tally[best]
-        if not rule:
-            break
-        tried = _totals(pruning, [_holds(rule[: i + 1]) for i in range(len(rule))])
-        worth = [(p - g) / (p + g) if p + g else -1.0 for p, g in tried]
-        best = max(range(len(rule)), key=lambda i: (worth[i], -i))
-        p, g = tried[best]
-        if p < MIN_COVER or p < precision * (p + g):
-            break
-        rules.append(rule[: best + 1])
-        left = left & ~_holds(rules[-1])
-    return rules
+    """Rules from examples with FEATURES, poor (0 or 1) and grow (whether it grows or prunes). No examples give no rules.
+
+    A rule grows until it holds for poor examples only or no condition gains; learning ends with the first rule
+    that, pruned, covers too few poor ones or is wrong too often on the pruning half. Neither rules nor
+    conditions have a set number.
+    """
+    with scratch(examples.sparkSession):
+        examples = materialize(examples.select(*FEATURES, "poor", "grow"), "quality-examples")
+        rules: list[Rule] = []
+        left = F.lit(True)
+        while True:
+            rule: Rule = ()
+            growing, pruning = examples.filter(left & F.col("grow")), examples.filter(left & ~F.col("grow"))
+            ((poor, good),) = _totals(growing, [F.lit(True)])
+            while poor >= MIN_COVER and good:
+                best = _best(growing.filter(_holds(rule)), poor, good)
+                if best is None:
+                    break
+                condition, poor, good = best
+                rule = (*rule, condition)
+            if not rule:
+                return rules
+            tried = _totals(pruning, [_holds(rule[: i + 1]) for i in range(len(rule))])
+            worth = [(p - g) / (p + g) if p + g else -1.0 for p, g in tried]
+            best = max(range(len(rule)), key=lambda i: (worth[i], -i))
+            p, g = tried[best]
+            if p < MIN_COVER or p < precision * (p + g):
+                return rules
+            rules.append(rule[: best + 1])
+            left = left & ~_holds(rules[-1])
 
 
 def base_failed() -> Column:

@@ -1,5 +1,6 @@
 """Small tests against brute force."""
 
+import random
 import re
 
 import xxhash
@@ -69,3 +70,34 @@ def test_patterns_do_not_depend_on_other_documents(spark):
         for i, k in enumerate(keys):
             assert ("context", 9, 9 + len(k)) in got[i]
         assert all(not got[i] for i in got if i >= 100)
+
+
+def test_context_spans_of_any_form(spark):
+    """Identifiers with separators, short ones, and ones far behind their two lexemes are found; numbers elsewhere are not."""
+    mails = [f"code : u{chr(97 + i)}@h.org is known" for i in range(8)]
+    forms = ["123-45-6789", "DE89 3704 0044 0532 0130 00", "7", "x/2024/15", "AB_12"]
+    rows = [*mails, *[f"code : {f}, thanks" for f in forms], "code" + " " * 300 + ":" + " " * 20_000 + "4711 end", "room 12 of 30", "word" * 30 + " : 55"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], DOCS)
+    got = {r.doc_id: [t for t in (rows[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "context")] for r in pii.find(docs).collect()}
+    assert [got[8 + i] for i in range(5)] == [[f] for f in forms] and got[13] == ["4711"]
+    assert all(not got[i] for i in (*range(8), 14, 15))
+
+
+def brute_base(text):
+    """Base spans by the contract's patterns."""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(?:\.[0-9]+){3}", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9](?:[\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"][::-1]
+        if 13 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
+    return out
+
+
+def test_base_spans_against_patterns(spark):
+    rng, parts = random.Random(7), ["a.b@c.de", "x@y", "@", "10.0.0.1", "1.2.3.4.5", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 30 1234567", "+1 (2)", ".", "-", " ", "é𝄞", "word", "7", "+", "5500 0000 0000 0004", "\n"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12))), "s") for i in range(600)] + [(600, "z@q.org 1.1.1.1 " * 3000, "s"), (601, "9" * 50_000, "s")]
+    got = {r.doc_id: [tuple(s) for s in r.spans if s.kind != "context"] for r in pii.find(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, text, _ in rows:
+        assert got[i] == brute_base(text), text[:200]

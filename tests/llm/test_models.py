@@ -71,3 +71,48 @@ def test_toxicity_learns_from_rare_words(spark):
 def test_toxicity_without_examples(spark):
     model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, label int"))
     assert toxicity.score(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), model).first().toxicity == 0.5
+
+
+def planted(spark, n=4000):
+    """Poor are texts of many symbols and many capitals together, and those of very short lines; 1 in 50 labels is wrong."""
+    rng = np.random.default_rng(5)
+    x = rng.random((n, len(quality.FEATURES)))
+    at = {f: i for i, f in enumerate(quality.FEATURES)}
+    poor = ((x[:, at["symbol_share"]] > 0.7) & (x[:, at["upper_share"]] > 0.6)) | (x[:, at["line_words"]] < 0.1)
+    label = poor ^ (rng.random(n) < 0.02)
+    names = ", ".join(f"{f} double" for f in quality.FEATURES)
+    rows = [(*map(float, r), int(p), bool(i % 2)) for i, (r, p) in enumerate(zip(x, label, strict=True))]
+    return spark.createDataFrame(rows, f"{names}, poor int, grow boolean"), x, poor
+
+
+def test_decision_list_learns_planted_rules(spark):
+    examples, x, poor = planted(spark)
+    rules = quality.learn(examples)
+    assert len(rules) >= 2 and any({c.feature for c in r} >= {"symbol_share", "upper_share"} for r in rules)
+    at = {f: i for i, f in enumerate(quality.FEATURES)}
+    got = np.zeros(len(x), bool)
+    for r in rules:
+        hold = np.ones(len(x), bool)
+        for c in r:
+            hold &= (x[:, at[c.feature]] > c.cut) == c.above
+        got |= hold
+    assert (got & poor).sum() >= 0.9 * poor.sum() and (got & ~poor).sum() <= 0.02 * len(x)
+    told = examples.select(quality.verdict(rules).alias("v")).collect()
+    assert [r.v > 0 for r in told] == got.tolist()
+
+
+def test_best_condition_against_brute_force(spark):
+    examples, x, _ = planted(spark, 200)
+    y = np.array([r.poor for r in examples.select("poor").collect()])
+    best, p, g = quality._best(examples, int(y.sum()), int((1 - y).sum()))
+    base, top = np.log2(y.mean()), 0.0
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f])
+        for cut in (v[:-1] + v[1:]) / 2:
+            for hold in (x[:, f] <= cut, x[:, f] > cut):
+                a, b = y[hold].sum(), (1 - y)[hold].sum()
+                if a >= quality.MIN_COVER and b < (1 - y).sum():
+                    top = max(top, a * (np.log2(a / (a + b)) - base))
+    assert abs(p * (np.log2(p / (p + g)) - base) - top) < 1e-9
+    hold = (x[:, quality.FEATURES.index(best.feature)] > best.cut) == best.above
+    assert (y[hold].sum(), (1 - y)[hold].sum()) == (p, g)
