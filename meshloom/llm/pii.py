@@ -166,7 +166,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame, *, text: str = "text") ->
     rows = docs.select(_lexemes(F.coalesce(F.col(text), F.lit(""))).alias("__l")).filter(F.size("__l") >= 2)
     pairs = F.zip_with(F.slice("__l", 1, F.size("__l") - 1), F.slice("__l", 2, F.size("__l")), lambda a, b: F.concat(a, F.lit(" "), b))
     totals = rows.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    return totals.join(patterns.select("pattern"), "pattern", "left_semi")
+    # an inner join, as a semi join would be moved below the count
+    return totals.join(patterns.select("pattern").distinct(), "pattern")
 
 
 def hot(graph: DataFrame, key: str) -> DataFrame:
