@@ -8,7 +8,8 @@ scored in rounds: a pattern's confidence is the score of its instances over all
 corpus, whatever follows it; an instance's score is the chance that one of its patterns is right. Instances
 in patterns of high confidence that no base span covers are new spans, of kind `context`.
 
-Patterns need at least `MIN_SUPPORT` instances, at any size of the corpus. Joins are by shuffle, but keys with a
+Patterns need at least `MIN_SUPPORT` instances, at any size of the corpus. Occurrences are counted only of those
+whose instances alone don't rule out that they are confident. Joins are by shuffle, but keys with a
 share `SHARE` of the rows, of which there are few at any size, are joined by broadcast.
 """
 
@@ -166,8 +167,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, *, text: str = "text") ->
     rows = docs.select(_lexemes(F.coalesce(F.col(text), F.lit(""))).alias("__l")).filter(F.size("__l") >= 2)
     pairs = F.zip_with(F.slice("__l", 1, F.size("__l") - 1), F.slice("__l", 2, F.size("__l")), lambda a, b: F.concat(a, F.lit(" "), b))
     totals = rows.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    # an inner join, as a semi join would be moved below the count
-    return totals.join(patterns.select("pattern").distinct(), "pattern")
+    return totals.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
 def hot(graph: DataFrame, key: str) -> DataFrame:
@@ -184,6 +184,23 @@ def _met(rows: DataFrame, table: DataFrame, key: str, often: DataFrame) -> DataF
     return few.unionByName(rows.join(often, key, "left_anti").join(table.join(often, key, "left_anti"), key))
 
 
+def promising(graph: DataFrame, hot_patterns: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern): those that bootstrap() may find confident; the others can't be, whatever their totals.
+
+    A pattern occurs at least as often as it has instances, and no score is over 1. So the share of its
+    instances that are seeds, or in a pattern that may be confident, bounds its confidence in each round.
+    """
+    value = graph.groupBy("value").agg(F.max(F.col("seed").cast("int")).alias("known"))
+    edges, hot_values, found = graph.select("pattern", "value", "n"), hot(graph, "value"), None
+    for _ in range(rounds):
+        value = materialize(value, "pii-known")
+        bound = _met(edges, value, "value", hot_values).groupBy("pattern").agg((F.sum(F.col("n") * F.col("known")) / F.sum("n")).alias("bound"))
+        found = materialize(bound.filter(F.col("bound") >= CONFIDENT).select("pattern"), "pii-promising")
+        reached = _met(edges, found, "pattern", hot_patterns).select("value").distinct().withColumn("reached", F.lit(1))
+        value = value.join(reached, "value", "left").select("value", F.greatest("known", F.coalesce("reached", F.lit(0))).alias("known"))
+    return found
+
+
 def bootstrap(graph: DataFrame, totals: DataFrame, hot_patterns: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, confidence) of a graph (pattern, value, seed, n) and totals (pattern, total)."""
     score = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
@@ -210,8 +227,10 @@ def find(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_
     graph = materialize(rows.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-graph")
     support = materialize(graph.groupBy("pattern").agg(F.count("*").alias("m")).filter(F.col("m") >= MIN_SUPPORT).select("pattern"), "pii-patterns")
     often = hot(graph, "pattern")
-    kept = materialize(_met(graph, support, "pattern", often), "pii-kept")
-    totals = materialize(occurrences(docs, support, text=text), "pii-totals")
+    supported = materialize(_met(graph, support, "pattern", often), "pii-supported")
+    chosen = promising(supported, often)
+    kept = materialize(_met(supported, chosen, "pattern", often), "pii-kept")
+    totals = materialize(occurrences(docs, chosen, text=text), "pii-totals")
     sure = materialize(bootstrap(kept, totals, often).filter(F.col("confidence") >= CONFIDENT).select("pattern"), "pii-sure")
     covered = _met(rows.filter(~F.col("seed") | F.col("value").rlike(SECRET)), sure, "pattern", often)
     new = covered.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("more"))
