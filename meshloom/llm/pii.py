@@ -201,9 +201,9 @@ def promising(graph: DataFrame, hot_patterns: DataFrame, *, rounds: int = ROUNDS
     return found
 
 
-def bootstrap(graph: DataFrame, totals: DataFrame, hot_patterns: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence) of a graph (pattern, value, seed, n) and totals (pattern, total)."""
-    score = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
+def bootstrap(graph: DataFrame, totals: DataFrame, hot_patterns: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, confidence) of a graph (pattern, value, n) and totals (pattern, total); seeds: (value, seed), a row or more each."""
+    score = seeds.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed"))
     edges, confidence, hot_values = graph.select("pattern", "value", "n"), None, hot(graph, "value")
     for _ in range(rounds):
         score = materialize(score, "pii-score")
@@ -231,7 +231,7 @@ def find(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] = ("doc_
     chosen = promising(supported, often)
     kept = materialize(_met(supported, chosen, "pattern", often), "pii-kept")
     totals = materialize(occurrences(docs, chosen, text=text), "pii-totals")
-    sure = materialize(bootstrap(kept, totals, often).filter(F.col("confidence") >= CONFIDENT).select("pattern"), "pii-sure")
+    sure = materialize(bootstrap(kept, totals, often, supported.select("value", "seed")).filter(F.col("confidence") >= CONFIDENT).select("pattern"), "pii-sure")
     covered = _met(rows.filter(~F.col("seed") | F.col("value").rlike(SECRET)), sure, "pattern", often)
     new = covered.groupBy("key").agg(F.sort_array(F.collect_set(F.struct(F.lit("context").alias("kind"), "start", "end"))).alias("more"))
     spans = scanned.select(*carry, "key", "base").join(new, "key", "left")
