@@ -26,6 +26,8 @@ ROUNDS, CONFIDENT = 3, 0.5
 #: Code points before an instance in which its pattern's lexemes are sought first; if they may begin before
 #: them, the next number counts, and at last the whole text before the instance.
 NEAR = (48, 1024, 16384)
+#: Words of 64 bits of the bitmap of patterns.
+BITMAP_WORDS = 1 << 14
 #: Stands for a dot or a separator between two characters of a match; in texts it is mapped to OTHER first.
 MARK, OTHER = "\ue000", "\ue001"
 #: Tokens of this form are seeds, too.
@@ -166,8 +168,16 @@ def occurrences(docs: DataFrame, patterns: DataFrame, *, text: str = "text") ->
     """(pattern, total): how often each pattern's two lexemes stand side by side in the texts."""
     rows = docs.select(_lexemes(F.coalesce(F.col(text), F.lit(""))).alias("__l")).filter(F.size("__l") >= 2)
     pairs = F.zip_with(F.slice("__l", 1, F.size("__l") - 1), F.slice("__l", 2, F.size("__l")), lambda a, b: F.concat(a, F.lit(" "), b))
-    totals = rows.select(F.explode(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    return totals.join(patterns.select("pattern"), "pattern", "left_semi")
+    every = rows.select(F.explode(pairs).alias("pattern"))
+    # a bitmap of fixed size keeps most other pairs out of the count; the join after it is exact
+    at = F.pmod(F.xxhash64("pattern"), F.lit(64 * BITMAP_WORDS))
+    word, bit = F.floor(at / 64), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    got = dict(patterns.groupBy(word.alias("w")).agg(F.bit_or(bit)).collect())  # at most BITMAP_WORDS rows
+    bitmap = F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(BITMAP_WORDS))), ",").cast("array<bigint>")
+    maybe = every.filter(F.get(bitmap, word.cast("int")).bitwiseAND(bit) != 0)
+    totals = maybe.groupBy("pattern").agg(F.count("*").alias("total"))
+    # an inner join, as a semi join would be moved below the count
+    return totals.join(patterns.select("pattern").distinct(), "pattern")
 
 
 def hot(graph: DataFrame, key: str) -> DataFrame:
