@@ -171,7 +171,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, *, text: str = "text") ->
     every = rows.select(F.explode(pairs).alias("pattern"))
     # a bitmap of fixed size keeps most other pairs out of the count; the join after it is exact
     at = F.pmod(F.xxhash64("pattern"), F.lit(64 * BITMAP_WORDS))
-    word, bit = F.floor(at / 64), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    word, bit = F.floor(at / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
     got = dict(patterns.groupBy(word.alias("w")).agg(F.bit_or(bit)).collect())  # at most BITMAP_WORDS rows
     bitmap = F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(BITMAP_WORDS))), ",").cast("array<bigint>")
     maybe = every.filter(F.get(bitmap, word.cast("int")).bitwiseAND(bit) != 0)
