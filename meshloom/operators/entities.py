@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import corners
-from ..model import Mesh, MeshError, Tag, dimension, elem_vertex, etype_of
+from ..model import DIMENSIONS, ETYPES, Mesh, MeshError, Tag, dimension, elem_vertex, etype_of
+from ..storage import numbered
 
 ID = ["etype", "id"]
 #: Stands for "any value" in a tag predicate.
@@ -57,15 +59,18 @@ def _having(rows: DataFrame, tag: Tag, value: object) -> DataFrame:
     return rows.join(tag.values.filter(F.col("value") != F.lit(value)), ID, "left_anti")
 
 
-def tag_data(rows: DataFrame, tag: Tag) -> DataFrame:
-    """rows with the column value: the tag's, or its default, or null."""
+def tag_data(rows: DataFrame, tag: Tag, *, strict: bool = False) -> DataFrame:
+    """rows with the column value: the tag's, or its default, or null; an error instead of null if strict."""
+    if strict and tag.default is None and not rows.join(tag.values, ID, "left_anti").isEmpty():
+        raise MeshError("an entity has no value of the tag, and the tag no default")
     out = rows.join(tag.values.select(*ID, "value"), ID, "left")
     return out if tag.default is None else out.withColumn("value", F.coalesce("value", F.lit(tag.default)))
 
 
 def tag_set(tag: Tag, rows: DataFrame) -> Tag:
-    """The tag after each of rows (etype, id, value) replaced the value of its entity."""
-    return Tag(tag.values.join(rows, ID, "left_anti").unionByName(rows.select(*tag.values.columns)), tag.default)
+    """The tag after each of rows (etype, id, value) replaced the value of its entity; of several for one entity the greatest counts."""
+    new = rows.groupBy(*ID).agg(F.max("value").alias("value"))
+    return Tag(tag.values.join(new, ID, "left_anti").unionByName(new.select(*tag.values.columns)), tag.default)
 
 
 def tag_clear(tag: Tag, entities: DataFrame, value: object) -> Tag:
@@ -94,8 +99,7 @@ def connectivity(elem: DataFrame, corners_only: bool = False) -> DataFrame:
 
 def positions(mesh: Mesh, distinct: bool = True) -> DataFrame:
     """(etype, id, x, y, z): the mean of each element's vertices, repeated ones once if distinct."""
-    rows = elem_vertex(mesh.elem).select("etype", "id", "vid")
-    rows = rows.distinct() if distinct else rows
+    rows = mesh.elem.select(*ID, F.explode(F.array_distinct("conn") if distinct else F.col("conn")).alias("vid"))
     met = rows.join(mesh.vertex.withColumnRenamed("id", "vid"), "vid")
     return met.groupBy(*ID).agg(*[F.avg(c).alias(c) for c in "xyz"])
 
@@ -117,15 +121,91 @@ def replace_vertices(mesh: Mesh, kept: DataFrame) -> Mesh:
 
 
 def assign_ids(entities: DataFrame, start: int = 1) -> DataFrame:
-    """entities with gid: consecutive numbers in the order of (etype, id), without a sort in one task.
+    """entities with gid: consecutive numbers in the order of (etype, id), without a sort in one task. Further columns are kept."""
+    return numbered(entities, ID, "gid", start)
 
-    Rows are sorted in ranges; each range's size is known before numbers are given, so only one row a range
-    passes through a window.
+
+def set_coords(mesh: Mesh, moved: DataFrame) -> Mesh:
+    """The mesh with the positions of moved (id, x, y, z); other vertices stay, unknown ids change nothing."""
+    new = moved.select("id", *[F.col(c).alias("n" + c) for c in "xyz"])
+    vertex = mesh.vertex.join(new, "id", "left").select("id", *[F.coalesce("n" + c, c).alias(c) for c in "xyz"])
+    return replace(mesh, vertex=vertex)
+
+
+def set_connectivity(mesh: Mesh, changed: DataFrame) -> Mesh:
+    """The mesh with the connectivity of changed (etype, id, conn) in place of the elements' own."""
+    new = changed.select(*ID, F.col("conn").alias("new"))
+    return replace(mesh, elem=mesh.elem.join(new, ID, "left").select(*ID, F.coalesce("new", "conn").alias("conn")))
+
+
+def create_vertices(mesh: Mesh, points: DataFrame) -> Mesh:
+    """The mesh with more vertices, one for each row (x, y, z), numbered in that order after its greatest id."""
+    top = mesh.vertex.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return replace(mesh, vertex=mesh.vertex.unionByName(numbered(points.select(*"xyz"), list("xyz"), "id", top + 1)))
+
+
+def create_elements(mesh: Mesh, etype: str | int, conns: DataFrame) -> Mesh:
+    """The mesh with more elements of a type, one for each row (conn), numbered in that order after the type's greatest id.
+
+    A vertex that isn't in the mesh is an error.
+    """
+    kind = etype_of(etype)
+    rows = conns.select("conn")
+    lost = rows.select(F.explode("conn").alias("id")).join(mesh.vertex, "id", "left_anti")
+    if DIMENSIONS[kind] != 3 or kind != ETYPES["POLYHEDRON"]:
+        if not lost.isEmpty():
+            raise MeshError("an element's vertex is not in the mesh")
+    top = mesh.elem.filter(F.col("etype") == kind).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(rows, ["conn"], "id", top + 1).select(F.lit(kind).alias("etype"), "id", "conn")
+    return replace(mesh, elem=mesh.elem.unionByName(new))
+
+
+def existing(mesh: Mesh, wanted: DataFrame) -> DataFrame:
+    """wanted (etype, id) with valid: whether the mesh has the entity."""
+    have = mesh.entities().select(*ID, F.lit(True).alias("valid"))
+    return wanted.select(*ID).join(have, ID, "left").select(*ID, F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+def vertices(mesh: Mesh, entities: DataFrame) -> DataFrame:
+    """(etype, id, vid): the distinct vertices of each of the entities; a vertex is its own, polyhedra go through their faces.
+
+    A polyhedron's conn holds the ids of its faces, which are polygons.
     """
-    spark = entities.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entities.repartitionByRange(parts, *ID).withColumn("__part", F.spark_partition_id())
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min(F.struct(*ID)).alias("first"))
-    before = sizes.select(F.col("__part"), (F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*ID))
-    return dealt.withColumn("__own", own).join(before, "__part").select(*entities.columns, (F.col("__before") + F.col("__own") + (start - 1)).cast("long").alias("gid"))
+    met = mesh.elem.join(entities.select(*ID), ID, "left_semi")
+    solid = F.col("etype") == ETYPES["POLYHEDRON"]
+    faces = elem_vertex(met.filter(solid)).select(*ID, F.col("vid").alias("face"))
+    polygons = elem_vertex(mesh.elem.filter(F.col("etype") == ETYPES["POLYGON"])).select(F.col("id").alias("face"), "vid")
+    own = entities.filter("etype = 0").select(*ID, F.col("id").alias("vid"))
+    return elem_vertex(met.filter(~solid)).select(*ID, "vid").unionByName(faces.join(polygons, "face").select(*ID, "vid")).unionByName(own).distinct()
+
+
+def centres(mesh: Mesh, entities: DataFrame) -> DataFrame:
+    """(etype, id, x, y, z): a vertex's position, and the plain mean over an element's conn, repeated and mid-side nodes included."""
+    met = positions(replace(mesh, elem=mesh.elem.join(entities.select(*ID), ID, "left_semi")), distinct=False)
+    own = mesh.vertex.join(entities.filter("etype = 0").select("id"), "id", "left_semi")
+    return met.unionByName(own.select(F.lit(0).cast(met.schema["etype"].dataType).alias("etype"), "id", *"xyz"))
+
+
+def tags_on(mesh: Mesh, entities: DataFrame) -> DataFrame:
+    """(etype, id, tag): the names of the tags of which each entity has a value of its own."""
+    named = [t.values.join(entities.select(*ID), ID, "left_semi").select(*ID, F.lit(n).alias("tag")) for n, t in mesh.tags.items()]
+    return reduce(DataFrame.unionByName, named) if named else entities.select(*ID, F.lit("").alias("tag")).limit(0)
+
+
+def tag_counts(mesh: Mesh) -> DataFrame:
+    """(tag, etype, n): how many entities of each type have a value of each tag."""
+    named = [t.values.groupBy("etype").agg(F.count("*").alias("n")).select(F.lit(k).alias("tag"), "etype", "n") for k, t in mesh.tags.items()]
+    if not named:
+        raise MeshError("the mesh has no tags")
+    return reduce(DataFrame.unionByName, named)
+
+
+def compare_tags(a: Tag, b: Tag) -> DataFrame:
+    """(etype, id, a, b): entities whose values differ, or that only one of the tags has."""
+    met = a.values.select(*ID, F.col("value").alias("a")).join(b.values.select(*ID, F.col("value").alias("b")), ID, "full")
+    return met.filter(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def by_chunk(rows: DataFrame, size: int) -> DataFrame:
+    """rows (etype, id) with chunk: numbers of runs of `size` entities in the order of (etype, id), for work in batches."""
+    return numbered(rows, ID, "__n", 0).withColumn("chunk", F.floor(F.col("__n") / size)).drop("__n")

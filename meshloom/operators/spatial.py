@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import Vec
 from ..model import Mesh, elem_vertex
+from ..storage import written
 
 ID = ["etype", "id"]
 CELL = ["cx", "cy", "cz"]
@@ -51,20 +52,20 @@ def within(points: DataFrame, vertex: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, vertex: DataFrame, radius: float, most: float) -> DataFrame:
-    """(pid, id, d2): the nearest vertex of each point, the least id on ties; points farther than `most` have none.
+    """(pid, id, d2): the nearest vertex of each point, the least id on ties; null for points farther than `most` from all.
 
     Points look within the radius first; those that find nothing look twice as far, and so on, so the work
     follows the density of the vertices.
     """
     found, left = None, points
+    radius = min(radius, most)
     while True:
-        now = within(left, vertex, radius).groupBy("pid").agg(F.min(F.struct("d2", "id")).alias("m")).select("pid", "m.id", "m.d2")
-        now = now.checkpoint() if points.sparkSession.sparkContext.getCheckpointDir() else now.cache()
+        now = written(within(left, vertex, radius).groupBy("pid").agg(F.min(F.struct("d2", "id")).alias("m")).select("pid", "m.id", "m.d2"), "nearest")
         found = now if found is None else found.unionByName(now)
-        left = left.join(now, "pid", "left_anti")
-        radius *= 2
-        if radius > most or left.isEmpty():
-            return found
+        left = written(left.join(now, "pid", "left_anti"), "left")
+        if radius >= most or left.isEmpty():
+            return points.select("pid").join(found, "pid", "left")
+        radius = min(2 * radius, most)
 
 
 def ray_hits(rays: DataFrame, triangles: DataFrame, width: float) -> DataFrame:

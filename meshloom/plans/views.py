@@ -43,3 +43,12 @@ def squares(spark: SparkSession, n: int) -> DataFrame:
     i, j = F.col("id") % n, F.floor(F.col("id") / n)
     corner = lambda a, b: F.struct(((i + a) / n).alias("x"), ((j + b) / n).alias("y"))
     return spark.range(n * n).select("id", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("poly"))
+
+
+def brick_size(spark: SparkSession, sf_dir: str) -> int:
+    """How many cells a side a brick has that is about as large as the customer table."""
+    count = table(spark, sf_dir, "customer").count()
+    n = 1
+    while (n + 1) ** 3 <= count:
+        n += 1
+    return max(2, n)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import quality
 from .model import ETYPES, Mesh
 from .operators import adjacency, entities, measure, parts, sets, spatial
-from .plans.views import brick, orders_mesh, squares, table
+from .plans.views import brick, brick_size, orders_mesh, squares, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,9 @@ e AS (SELECT a.id, a.pos, least(a.vid, b.vid) AS lo, greatest(a.vid, b.vid) AS h
 _P = """p AS (SELECT c_custkey AS pid, ((c_custkey * 37) % 1000) / 50.0 AS x, ((c_custkey * 61) % 1000) / 50.0 AS y,
   ((c_custkey * 17) % 500) / 10.0 AS z FROM customer)"""
 
+BRICK = """WITH s AS (SELECT greatest(2, CAST(floor(cbrt(count(*) + 0.5)) AS BIGINT)) AS n FROM customer),
+b AS (SELECT i + 1 AS id, i % n AS x, (i // n) % n AS y, i // (n * n) AS z, n FROM (SELECT unnest(range(n * n * n)) AS i, n FROM s))"""
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -85,9 +88,16 @@ def vertex_valence(spark, sf_dir):
     return adjacency.vertex_elements(orders_mesh(spark, sf_dir).elem).groupBy("vid").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_EV} SELECT id FROM ev WHERE vid IN (3, 4) GROUP BY id HAVING count(DISTINCT vid) = 2")
+_FIRST = "first AS (SELECT DISTINCT vid FROM ev WHERE id = (SELECT min(id) FROM ev WHERE pos = 1) AND pos < 2)"
+
+
+@query(f"WITH {_EV}, {_FIRST} SELECT id FROM ev WHERE vid IN (SELECT vid FROM first) GROUP BY id HAVING count(DISTINCT vid) = (SELECT count(*) FROM first)")
 def adjacent_to_all(spark, sf_dir):
-    return adjacency.elements_at(orders_mesh(spark, sf_dir).elem, spark.range(3, 5), "INTERSECT").select("id")
+    """Orders with both of the first two parts of the first order of two lines or more."""
+    elem = orders_mesh(spark, sf_dir).elem
+    one = elem.filter(F.size("conn") > 1).orderBy("id").limit(1)
+    wanted = one.select(F.explode(F.slice("conn", 1, 2)).alias("id")).distinct()
+    return adjacency.elements_at(elem, wanted, "INTERSECT").select("id")
 
 
 @query(f"WITH {_EV} SELECT DISTINCT id FROM ev WHERE vid IN (3, 4)")
@@ -107,29 +117,34 @@ def polygon_skin(spark, sf_dir):
     return rows.select(F.get("key", F.lit(0)).alias("lo"), F.get("key", F.lit(1)).alias("hi"), "id")
 
 
-@query("SELECT 6 * 12 * 12 AS n_faces, 13 * 13 * 13 - 11 * 11 * 11 AS n_vertices")
+@query(f"{BRICK} SELECT 6 * n * n AS n_faces, (n + 1) * (n + 1) * (n + 1) - (n - 1) * (n - 1) * (n - 1) AS n_vertices FROM s")
 def brick_skin(spark, sf_dir):
-    elem = brick(spark, 12).elem
-    faces = adjacency.skin(elem, 2).agg(F.count("*").cast("int").alias("n_faces"))
-    return faces.crossJoin(adjacency.skin_vertices(elem, 2).agg(F.count("*").cast("int").alias("n_vertices")))
+    faces = adjacency.skin(brick(spark, brick_size(spark, sf_dir)).elem, 2)
+    every = faces.select(F.lit(0).alias("k"), F.xxhash64("key").alias("v")).unionByName(faces.select(F.lit(1).alias("k"), F.explode("conn").alias("v")).distinct())
+    return every.agg(F.count_if(F.col("k") == 0).alias("n_faces"), F.count_if(F.col("k") == 1).alias("n_vertices"))
 
 
-@query("""WITH b AS (SELECT i + 1 AS id, i % 8 AS x, (i // 8) % 8 AS y, i // 64 AS z FROM range(512) t(i))
-SELECT a.id, b.id AS other_id FROM b a JOIN b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1""")
+@query(f"{BRICK} SELECT a.id, b.id AS other_id FROM b a JOIN b ON b.id IN (a.id - 1, a.id + 1, a.id - a.n, a.id + a.n, a.id - a.n * a.n, a.id + a.n * a.n) AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1")
 def brick_neighbours(spark, sf_dir):
-    return adjacency.neighbours(brick(spark, 8).elem, 2).select("id", "other_id")
+    return adjacency.neighbours(brick(spark, brick_size(spark, sf_dir)).elem, 2).select("id", "other_id")
 
 
-@query("""SELECT i + 1 AS id, greatest(i % 8, (i // 8) % 8, i // 64) AS layer FROM range(512) t(i) WHERE greatest(i % 8, (i // 8) % 8, i // 64) <= 3""")
+@query(f"{BRICK} SELECT id, greatest(x, y, z) AS layer FROM b WHERE greatest(x, y, z) <= 3")
 def bridge_layers(spark, sf_dir):
     start = spark.range(1, 2).select(F.lit(ETYPES["HEX"]).alias("etype"), "id")
-    return adjacency.bridge(brick(spark, 8).elem, start, 0, 3).select("id", F.col("layer").cast("long").alias("layer"))
+    return adjacency.bridge(brick(spark, brick_size(spark, sf_dir)).elem, start, 0, 3).select("id", F.col("layer").cast("long").alias("layer"))
+
+
+@query(f"{BRICK} SELECT id, x + y + z AS layer FROM b WHERE x + y + z <= 3")
+def bridge_faces(spark, sf_dir):
+    start = spark.range(1, 2).select(F.lit(ETYPES["HEX"]).alias("etype"), "id")
+    return adjacency.bridge(brick(spark, brick_size(spark, sf_dir)).elem, start, 2, 3).select("id", F.col("layer").cast("long").alias("layer"))
 
 
 @query("""SELECT lo, hi, hi - lo + 1 AS n FROM (SELECT min(id) AS lo, max(id) AS hi FROM (SELECT id, id - row_number() OVER (ORDER BY id) AS g
-FROM (SELECT DISTINCT o_custkey AS id FROM orders)) GROUP BY g)""")
+FROM (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'O')) GROUP BY g)""")
 def id_runs(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").select(F.lit(0).alias("etype"), F.col("o_custkey").alias("id"))
+    ids = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'").select(F.lit(0).alias("etype"), F.col("o_orderkey").alias("id"))
     return sets.runs(ids, 256).select("lo", "hi", "n")
 
 
@@ -182,31 +197,49 @@ def nearest_vertex(spark, sf_dir):
     return spatial.nearest(_points(spark, sf_dir), orders_mesh(spark, sf_dir).vertex, 2.0, 500.0).select("pid", F.round("d2", 6).alias("d2"))
 
 
-@query("SELECT i + 1 AS id, 1.0::DOUBLE AS size FROM range(1728) t(i)")
+@query(f"{BRICK} SELECT id, CAST(1 + 0.5 * (z % 2) AS DOUBLE) AS size FROM b")
 def brick_volumes(spark, sf_dir):
-    rows = measure.with_points(brick(spark, 12))
+    """Sizes of cells whose layers are 1 and 1.5 thick in turn and lean over."""
+    mesh = brick(spark, brick_size(spark, sf_dir))
+    lean = mesh.vertex.withColumn("x", F.col("x") + 0.3 * F.col("z")).withColumn("z", F.col("z") + 0.5 * F.floor(F.col("z") / 2))
+    rows = measure.with_points(Mesh(lean, mesh.elem))
     return rows.select("id", F.round(measure.measure(F.col("etype"), F.col("p")), 9).alias("size"))
 
 
-_GRIDS = """s AS (SELECT i AS id, (i % 30) / 30.0 AS x, (i // 30) / 30.0 AS y FROM range(900) t(i)),
-g AS (SELECT i AS id, (i % 22) / 22.0 AS x, (i // 22) / 22.0 AS y FROM range(484) t(i)),
-o AS (SELECT s.id AS src, g.id AS tgt, (least(s.x + 1 / 30.0, g.x + 1 / 22.0) - greatest(s.x, g.x)) * (least(s.y + 1 / 30.0, g.y + 1 / 22.0) - greatest(s.y, g.y)) AS area
- FROM s JOIN g ON least(s.x + 1 / 30.0, g.x + 1 / 22.0) - greatest(s.x, g.x) > 1e-9 AND least(s.y + 1 / 30.0, g.y + 1 / 22.0) - greatest(s.y, g.y) > 1e-9)"""
+_GRIDS = """c AS (SELECT greatest(2, CAST(floor(sqrt(count(*) + 0.5)) AS BIGINT)) AS a FROM customer), d AS (SELECT greatest(2, CAST(floor(sqrt(3 * count(*) + 0.5)) AS BIGINT)) AS b FROM supplier),
+s AS (SELECT i AS id, (i % a) / a::DOUBLE AS x, (i // a) / a::DOUBLE AS y, 1 / a::DOUBLE AS w, i % a + 2 * (i // a) AS f FROM (SELECT unnest(range(a * a)) AS i, a FROM c)),
+g AS (SELECT i AS id, (i % b) / b::DOUBLE AS x, (i // b) / b::DOUBLE AS y, 1 / b::DOUBLE AS w FROM (SELECT unnest(range(b * b)) AS i, b FROM d)),
+o AS (SELECT s.id AS src, g.id AS tgt, f, g.w * g.w AS whole, (least(s.x + s.w, g.x + g.w) - greatest(s.x, g.x)) * (least(s.y + s.w, g.y + g.w) - greatest(s.y, g.y)) AS area
+ FROM s JOIN g ON least(s.x + s.w, g.x + g.w) - greatest(s.x, g.x) > 1e-9 AND least(s.y + s.w, g.y + g.w) - greatest(s.y, g.y) > 1e-9)"""
+
+
+def _root(count: int) -> int:
+    return max(2, int((count + 0.5) ** 0.5))
 
 
-def _overlap(spark):
-    return measure.overlaps(squares(spark, 30), squares(spark, 22), 1 / 22)
+def _overlap(spark, sf_dir):
+    a, b = _root(table(spark, sf_dir, "customer").count()), _root(3 * table(spark, sf_dir, "supplier").count())
+    return a, measure.overlaps(squares(spark, a), squares(spark, b), 1 / min(a, b))
 
 
 @query(f"WITH {_GRIDS} SELECT src, tgt, round(area, 9) AS area FROM o")
 def mesh_overlap(spark, sf_dir):
-    return _overlap(spark).select("src", "tgt", F.round("area", 9).alias("area"))
+    return _overlap(spark, sf_dir)[1].select("src", "tgt", F.round("area", 9).alias("area"))
 
 
-@query(f"WITH {_GRIDS} SELECT tgt AS id, round(sum(area * (src % 30 + 2 * (src // 30))) * 484, 6) AS value FROM o GROUP BY tgt")
+@query(f"WITH {_GRIDS} SELECT tgt AS id, round(sum(area * f / whole), 6) AS value FROM o GROUP BY tgt")
 def remap_field(spark, sf_dir):
-    field = spark.range(900).select("id", (F.col("id") % 30 + 2 * F.floor(F.col("id") / 30)).alias("value"))
-    return measure.apply_weights(measure.weights(_overlap(spark)), field).select("id", F.round("value", 6).alias("value"))
+    a, overlap = _overlap(spark, sf_dir)
+    field = spark.range(a * a).select("id", (F.col("id") % a + 2 * F.floor(F.col("id") / a)).alias("value"))
+    return measure.apply_weights(measure.weights(overlap), field).select("id", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_GRIDS} SELECT src AS id, round(sum(area), 6) AS value FROM o GROUP BY src")
+def remap_transposed(spark, sf_dir):
+    """Target areas carried back by the transposed weights: what each source cell covers."""
+    a, overlap = _overlap(spark, sf_dir)
+    own = overlap.groupBy(F.col("tgt").alias("id")).agg(F.sum("area").alias("value"))
+    return measure.apply_weights(measure.weights(overlap), own, transpose=True).select("id", F.round("value", 6).alias("value"))
 
 
 _PART = f"WITH {_EV}, vp AS (SELECT DISTINCT vid, id % 7 AS part FROM ev)"
@@ -241,9 +274,9 @@ def exchange_tag(spark, sf_dir):
     return parts.exchange_tags(copies)
 
 
-@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS gid FROM orders")
+@query("SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (ORDER BY o_orderkey) AS gid FROM orders")
 def global_ids(spark, sf_dir):
-    return entities.assign_ids(table(spark, sf_dir, "orders").select(F.lit(4).alias("etype"), F.col("o_orderkey").alias("id"))).select("id", "gid")
+    return entities.assign_ids(table(spark, sf_dir, "orders").select(F.lit(4).alias("etype"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))).select("id", "priority", "gid")
 
 
 @query(f"WITH {_P} SELECT pid, x > 0 AND x < 12 AND y > 0 AND y < 12 AND z > 0 AND z < 12 AS inside FROM p WHERE x NOT IN (0, 12) AND y NOT IN (0, 12) AND z NOT IN (0, 12)")
