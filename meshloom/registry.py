@@ -296,8 +296,9 @@ def _shapes(spark: SparkSession, sf_dir: str, corners: list[tuple[str, str, str]
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k AS id", f"array({points}) AS p")
 
 
-def _metrics(rows: DataFrame, metrics: dict) -> DataFrame:
-    return rows.select("id", *[F.round(m, 5).alias(name) for name, m in metrics.items()])
+def _metrics(rows: DataFrame, kind: str, names: str) -> DataFrame:
+    met = rows.select("id", quality.measures(kind, F.col("p")).alias("m"))
+    return met.select("id", *[F.round(f"m.{n}", 5).alias(n) for n in names.split()])
 
 
 @query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b FROM customer),
@@ -307,7 +308,7 @@ SELECT id, a * b / 2 AS area, round(c / least(a, b), 5) AS edge_ratio, round(sqr
  round(a * b * 2 / sqrt(3) / (c * greatest(a, b)), 5) AS scaled_jacobian, round(degrees(atan(least(a, b) / greatest(a, b))), 5) AS minimum_angle FROM u""")
 def triangle_quality(spark, sf_dir):
     rows = _shapes(spark, sf_dir, [("0", "0", "k % 3"), ("1 + k % 7", "0", "k % 3"), ("0", "1 + k % 5", "k % 3")])
-    return _metrics(rows, quality.triangle(F.col("p")))
+    return _metrics(rows, "TRI", "area edge_ratio aspect_ratio radius_ratio aspect_frobenius condition shape scaled_jacobian minimum_angle")
 
 
 @query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b, (c_custkey % 4) / 2.0 AS s FROM customer),
@@ -316,7 +317,7 @@ SELECT id, a * b AS area, round(greatest(a, c) * (a + c) / (2 * a * b), 5) AS as
  a * b AS jacobian, round(b / c, 5) AS scaled_jacobian, round((a * a + c * c) / (2 * a * b), 5) AS condition FROM u""")
 def quadrilateral_quality(spark, sf_dir):
     rows = _shapes(spark, sf_dir, [("0", "0", "1"), ("1 + k % 7", "0", "1"), ("1 + k % 7 + (k % 4) / 2", "1 + k % 5", "1"), ("(k % 4) / 2", "1 + k % 5", "1")])
-    return _metrics(rows, quality.quadrilateral(F.col("p")))
+    return _metrics(rows, "QUAD", "area aspect_ratio skew taper warpage stretch jacobian scaled_jacobian condition")
 
 
 @query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b, 1.0 + c_custkey % 3 AS c FROM customer),
@@ -327,7 +328,7 @@ SELECT id, round(j / 6, 5) AS volume, j AS jacobian, round(sqrt(2) * j / greates
  round(1.5 * q / (3 * cbrt(2 * j * j)), 5) AS aspect_frobenius FROM w""")
 def tetrahedron_quality(spark, sf_dir):
     rows = _shapes(spark, sf_dir, [("2", "3", "4"), ("3 + k % 7", "3", "4"), ("2", "4 + k % 5", "4"), ("2", "3", "5 + k % 3")])
-    return _metrics(rows, quality.tetrahedron(F.col("p")))
+    return _metrics(rows, "TET", "volume jacobian scaled_jacobian edge_ratio radius_ratio aspect_ratio aspect_gamma aspect_frobenius")
 
 
 @query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 7 AS a, 1.0 + c_custkey % 5 AS b, 1.0 + c_custkey % 3 AS c FROM customer)
@@ -336,4 +337,4 @@ def hexahedron_quality(spark, sf_dir):
     a, b, c = "1 + k % 7", "1 + k % 5", "1 + k % 3"
     base = [("0", "0"), (a, "0"), (a, b), ("0", b)]
     rows = _shapes(spark, sf_dir, [(x, y, z) for z in ("0", c) for x, y in base])
-    return _metrics(rows, quality.hexahedron(F.col("p")))
+    return _metrics(rows, "HEX", "volume skew stretch diagonal jacobian")
