@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sphere
-from ..functions.vector import Vec
+from ..functions.shape import let
+from ..functions.vector import Vec, det
 from ..model import MeshError
 from ..storage import written
 from .measure import clip, planar_area
@@ -29,7 +30,7 @@ def cubed_sphere(spark: SparkSession, n: int) -> DataFrame:
     i, j = F.col("id") % n, F.floor(F.col("id") / n) % n
     to = lambda k: F.tan((2 * k / n - 1) * (math.pi / 4))
     at = lambda a, b: sphere.unproject(F.struct(to(i + a).alias("x"), to(j + b).alias("y")), face)
-    return spark.range(6 * n * n).select("id", sphere.counterclockwise(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1))).alias("poly"))
+    return spark.range(6 * n * n).select("id", F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).alias("poly"))
 
 
 def icosahedral(spark: SparkSession, n: int) -> DataFrame:
@@ -47,7 +48,8 @@ def icosahedral(spark: SparkSession, n: int) -> DataFrame:
     i = k - (n - j)
     down = F.array(spot(i + 1, j), spot(i + 1, j + 1), spot(i, j + 1))
     grid = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), 2 * (n - F.col("j")) - 2)))
-    poly = sphere.counterclockwise(F.when(k < n - j, up).otherwise(down))
+    q = lambda t, i: Vec.of(F.get(t, F.lit(i)))
+    poly = let(F.when(k < n - j, up).otherwise(down), lambda t: F.when(det(q(t, 0), q(t, 1), q(t, 2)) < 0, F.reverse(t)).otherwise(t))
     return grid.select((F.col("face") * n * n + 2 * n * j - j * j + k).cast("long").alias("id"), poly.alias("poly"))
 
 
@@ -73,7 +75,8 @@ def overlaps(source: DataFrame, target: DataFrame, width: float, least: float =
     """(src, tgt, area, poly) of the overlapping pairs of convex cells (id, poly) on the unit sphere.
 
     Cells meet in cubes of the given width, then by their caps; a pair is projected to the target's gnomonic
-    plane, where arcs are straight, clipped there and put back. Cells must be smaller than a quarter sphere.
+    plane, where arcs are straight, clipped there and put back. That takes cells whose corners lie on one side of
+    the plane's parallel through the middle: cells of more than some 18 degrees may be an error.
     """
     pairs = _boxes(source, "src", width).join(_boxes(target, "tgt", width), ["cx", "cy", "cz"])
     gap = (Vec.of(F.col("src_mid")) - Vec.of(F.col("tgt_mid"))).norm()
@@ -85,7 +88,9 @@ def overlaps(source: DataFrame, target: DataFrame, width: float, least: float =
     flat = lambda c: F.transform(c, lambda v: sphere.project(Vec.of(v), F.col("plane")))
     pairs = written(pairs.select("src", "tgt", "plane", flat("src_poly").alias("s"), flat("tgt_poly").alias("t")), "projected")
     whole = lambda c: F.forall(c, lambda v: v.isNotNull())
-    cut = pairs.filter(whole("s") & whole("t")).select("src", "tgt", "plane", clip(F.col("s"), F.col("t")).alias("q"))
+    if not pairs.filter(~(whole("s") & whole("t"))).isEmpty():
+        raise MeshError("cells are too large for one projection")
+    cut = pairs.select("src", "tgt", "plane", clip(F.col("s"), F.col("t")).alias("q"))
     cut = written(cut, "clipped")  # each step is computed once, not again in the filters after it
     cut = cut.filter((F.size("q") >= 3) & (planar_area(F.col("q")) > least))
     back = written(cut.select("src", "tgt", F.transform("q", lambda v: sphere.unproject(v, F.col("plane"))).alias("poly")), "overlap")

@@ -13,6 +13,7 @@ from .model import Mesh
 from .operators import couple, geometry, measure, refine, remap, spatial
 from .plans.views import brick, brick_size, orders_mesh, table
 from .registry import _P, _V, BRICK, _points, query
+from .storage import written
 
 LEAN = 0.3
 
@@ -194,11 +195,28 @@ def gnomonic_round_trip(spark, sf_dir):
 
 def _grids(spark, sf_dir) -> tuple[DataFrame, DataFrame, float]:
     """A cubed sphere and a grid of longitudes and latitudes, with about as many cells as there are customers."""
-    n = max(2, brick_size(spark, sf_dir))
-    return remap.cubed_sphere(spark, n), remap.lat_lon(spark, 3 * n, 2 * n), 2 / n
+    n = max(6, brick_size(spark, sf_dir))
+    return written(remap.cubed_sphere(spark, n), "cubes"), written(remap.lat_lon(spark, 3 * n, 2 * n), "longitudes"), 2 / n
 
 
-@query(f"{BRICK} SELECT grid, round(4 * pi(), 6) AS area, CAST(CASE grid WHEN 'cubes' THEN 6 * n * n WHEN 'longitudes' THEN 6 * n * n ELSE 20 * n * n END AS BIGINT) AS n FROM s, (SELECT unnest(['cubes', 'longitudes', 'triangles']) AS grid)")
+@query(f"{BRICK} SELECT i AS id, 0.0::DOUBLE AS gap FROM (SELECT unnest(range(6 * greatest(n, 6) * greatest(n, 6))) AS i FROM s)")
+def sphere_overlap(spark, sf_dir):
+    """For each cell of one grid, what its overlaps with the other leave of its area."""
+    source, target, width = _grids(spark, sf_dir)
+    rows = remap.overlap_check(remap.overlaps(source, target, width), target, "tgt")
+    return rows.select("id", F.round(F.abs(F.col("area") - F.col("covered")), 8).alias("gap"))
+
+
+@query("SELECT unnest(['inconsistent', 'unconserved', 'nonmonotone']) AS kind, CAST(0 AS BIGINT) AS n")
+def sphere_weights(spark, sf_dir):
+    """How many rows, columns and entries of the weights between two grids fail the checks."""
+    source, target, width = _grids(spark, sf_dir)
+    w = measure.weights(remap.overlaps(source, target, width))
+    areas = [g.select("id", sphere.area(F.col("poly")).alias("area")) for g in (source, target)]
+    return remap.check_weights(w, areas[0], areas[1], 1e-6)
+
+
+@query(f"{BRICK} SELECT grid, round(4 * pi(), 6) AS area, CAST(CASE grid WHEN 'cubes' THEN 6 * greatest(n, 6) * greatest(n, 6) WHEN 'longitudes' THEN 6 * greatest(n, 6) * greatest(n, 6) ELSE 20 * n * n END AS BIGINT) AS n FROM s, (SELECT unnest(['cubes', 'longitudes', 'triangles']) AS grid)")
 def sphere_grids(spark, sf_dir):
     source, target, _ = _grids(spark, sf_dir)
     named = {"cubes": source, "longitudes": target, "triangles": remap.icosahedral(spark, max(2, brick_size(spark, sf_dir)))}

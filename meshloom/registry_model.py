@@ -161,11 +161,11 @@ def cell_lower_faces(spark, sf_dir):
 
 @query(f"{BRICK} SELECT id FROM b WHERE x = 0 AND y = 0 AND z IN (0, 1)")
 def cells_at_all(spark, sf_dir):
-    """Cells at both ends of the second upright edge from the origin, and those at any end of none other."""
+    """Cells with both ends of the first edge along x of the second layer of vertices."""
     n = brick_size(spark, sf_dir)
     m = n + 1
     mesh = brick(spark, n)
-    ends = spark.createDataFrame([(0, 1 + m * m)], "etype int, id long")
+    ends = spark.createDataFrame([(0, 1 + m * m), (0, 2 + m * m)], "etype int, id long")
     return adjacency.adjacencies(mesh, ends, 3).select("id")
 
 
