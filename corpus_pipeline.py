@@ -44,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language ID", language), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("personal data", personal_data), ("mixing", mixture)]
 
-#: Not expressible in SQL: language scores and fingerprints. A test holds what the stages keep and change on a small corpus against plain Python.
+#: Not expressible in SQL: language scores and fingerprints. A test checks on a small corpus which documents stay and what becomes of their texts; it does not hold every value against brute force.
 ORACLE_SQL = None
 
 
