@@ -31,6 +31,8 @@ ENDS_P = BLOCK - frozenset("html body caption tbody thead tfoot tr td th legend
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "tbody thead tr td th"}
 SCOPE = frozenset("table ul ol dl html body td th article section div nav aside".split())
 
+FOREIGN = frozenset("svg math".split())
+
 #: Words in class, id and role names that speak for or against content.
 AGAINST = "ad ads advert advertisement banner breadcrumb comment comments cookie consent copyright discussion footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert".split()
 #: Parts of such words that speak against content, too: topmenu, pagefooter.
@@ -67,8 +69,6 @@ class Tree(HTMLParser):
         self.feed(source)
         self.ending = True
         self.close()
-        if self.rawdata:  # a tag that the page's end cuts off is markup, not text
-            self.rawdata = ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html" or (tag == "body" and any(self.nodes[i].tag == "body" for i in self.open)):
@@ -86,6 +86,12 @@ class Tree(HTMLParser):
         self.nodes.append(node)
         self.open.append(len(self.nodes) - 1)
 
+    def parse_starttag(self, i: int) -> int:
+        return self._to_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._to_end(super().parse_endtag(i))
+
     def parse_comment(self, i: int, report: int = 1) -> int:
         return self._to_end(super().parse_comment(i, report))
 
@@ -96,11 +102,13 @@ class Tree(HTMLParser):
         return self._to_end(super().parse_pi(i))
 
     def _to_end(self, at: int) -> int:
-        """A comment or declaration that the page's end cuts off goes on to the end."""
+        """A tag, comment or declaration that the page's end cuts off goes on to the end: it is markup, not text."""
         return len(self.rawdata) if at < 0 and self.ending else at
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:  # of these alone a slash ends the element
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in ("html", "body"):

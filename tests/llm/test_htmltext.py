@@ -70,3 +70,15 @@ def test_articles_between_boilerplate_against_patterns(spark, model):
 
 def test_empty_table(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_cut_off_tags_are_markup_and_closed_foreign_elements_end():
+    """On every Python version; what follows `<svg/>` stays."""
+
+    def text(html):
+        return "".join(t for _, t in htmltext.Tree(html).runs)
+
+    assert [text(h) for h in ("<div><p", "<p>a</p><p clas", "<p>b</p></artic", "<p>c</p><!-- x", "<a href='x")] == ["", "a", "b", "c", ""]
+    assert text("<p>A</p><svg/><p>B</p>") == "AB" and text("<p>A <svg class='i'/> tail</p>") == "A  tail" and text("a < b") == "a < b"
+    tree = htmltext.Tree("<p>A</p><svg/><p>B</p>")
+    assert [tree.nodes[i].tag for i, _ in tree.runs] == ["p", "p"]
