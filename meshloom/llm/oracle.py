@@ -91,3 +91,40 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM d
 """
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII string, a bit at a time."""
+    bits = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [CAST(ascii(substr({text}, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+# Runs of a period q hold equal 5-grams q apart; consecutive such places are one run.
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents
+),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+t AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) END AS w FROM a
+),
+g AS (SELECT r, n, unnest(range(0, n - 4)) AS i, w FROM t WHERE n > 5),
+gram AS (SELECT r, n, i, array_to_string(w[i + 1 : i + 5], ' ') AS five FROM g),
+met AS (SELECT x.r, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.r = y.r AND x.five = y.five AND x.i < y.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM met),
+stretch AS (SELECT r, q, min(i) AS s, max(i) - min(i) + 5 + q AS size FROM island GROUP BY r, q, k),
+run AS (SELECT r, s, size, min(q) AS q FROM stretch WHERE size >= greatest(6, 4 * q) GROUP BY r, s, size),
+best AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    min({{'a': -size, 'b': s, 'c': q}}) AS b, list({{'s': s, 'e': s + size, 'q': q}}) AS runs
+  FROM run GROUP BY r
+),
+gone AS (SELECT r, list(DISTINCT p) AS p FROM (SELECT r, unnest(range(s + q, s + size)) AS p FROM run) GROUP BY r),
+kept AS (
+  SELECT t.r, array_to_string(CASE WHEN gone.p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone.p, i - 1)) END, ' ') AS text
+  FROM t LEFT JOIN gone USING (r)
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b['b'] AS BIGINT) AS start, CAST(-b['a'] AS BIGINT) AS length, CAST(b['c'] AS BIGINT) AS period,
+  CAST(1000 * -b['a'] // b['c'] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(kept.text) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM t LEFT JOIN best USING (r) JOIN kept USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, langid, mixing, neardup, oracle, pii, quality, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, mixing, neardup, oracle, pii, quality, runs, toxicity, warc
 from .common import fold, table
 
 #: The text of both turns of conversation -1 in the chat query.
@@ -83,5 +83,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_chat, op4_toxicity, op5_mix, op6_pii, op7_main_text, op8_warc, op9_quality, op10_language)}
-SQL = {"op1_decontaminate": oracle.OP1, "op3_chat": oracle.op3(PROBE), "op5_mix": oracle.OP5, "op8_warc": oracle.OP8}
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = found.select("doc_id", "n_words", "runs", "collapsed", best.alias("best"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = [(-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli")]
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *longest, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_chat, op4_toxicity, op5_mix, op6_pii, op7_main_text, op8_warc, op9_quality, op10_language, op12_runs)}
+SQL = {"op1_decontaminate": oracle.OP1, "op3_chat": oracle.op3(PROBE), "op5_mix": oracle.OP5, "op8_warc": oracle.OP8, "op12_runs": oracle.OP12}
