@@ -128,3 +128,64 @@ SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b['b'] AS BIG
   CAST(1000 * -b['a'] // b['c'] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(kept.text) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
 FROM t LEFT JOIN best USING (r) JOIN kept USING (r)
 """
+
+
+def _more(path: str, cost: str, edits: str) -> str:
+    """A path, its cost in nine digits before its edits, with more of both; so the least string is the cheapest path, ties ASCII-least."""
+    return f"(lpad(CAST(CAST(substr({path}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({path}, 10) || '{edits}')"
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+OP13 = rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS h FROM conversations
+),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM base WHERE h <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, regexp_replace(text, '{_SPACE}+$', '') AS said FROM rows
+),
+turns AS (
+  SELECT *, said = '' AS blank, said <> '' AND pos > min(pos) OVER (PARTITION BY conv_id, role, text) AS dup, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed
+),
+kinds AS (SELECT *, NOT blank AND NOT dup AND right(said, 1) NOT IN ('.', '!', '?') AS cut FROM turns),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, CAST(NULL AS VARCHAR) AS s2, CAST(NULL AS VARCHAR) AS s3 FROM kinds GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, {_more("k0", "4", "D")},
+    least({_more("k1", "4", "D")}, CASE WHEN NOT gone AND initial = 's' THEN {_more("k0", "3 * t", "K")} END),
+    least({_more("k2", "4", "D")}, CASE WHEN NOT gone AND initial = 'u' THEN {_more("ku", "3 * t", "K")} END, CASE WHEN NOT gone THEN {_more("ku", "(3 + 3 * t)", "R")} END),
+    least({_more("k3", "4", "D")}, CASE WHEN NOT gone AND initial = 'a' THEN {_more("k2", "3 * t", "K")} END, CASE WHEN NOT gone THEN {_more("k2", "(3 + 3 * t)", "R")} END)
+  FROM (
+    SELECT *, least(k0, k1, k3) AS ku FROM (
+      SELECT k.conv_id, k.pos, k.initial, k.blank OR k.dup AS gone, CAST(k.cut AS INT) AS t, s0 AS k0, s1 AS k1,
+        least(s2, {_more("s0", "3", "I")}, {_more("s1", "3", "I")}, {_more("s3", "3", "I")}) AS k2,
+        least(s3, {_more("s2", "3", "I")}, {_more("s0", "6", "II")}, {_more("s1", "6", "II")}) AS k3
+      FROM path p JOIN kinds k ON p.conv_id = k.conv_id AND k.pos = p.pos + 1
+    )
+  )
+),
+best AS (
+  SELECT p.conv_id, least(s0, s3, {_more("s2", "3", "I")}, {_more("s1", "6", "II")}) AS b
+  FROM path p JOIN (SELECT conv_id, max(pos) AS n FROM kinds GROUP BY conv_id) m ON p.conv_id = m.conv_id AND p.pos = m.n
+),
+edit AS (SELECT conv_id, substr(b, 10) AS audit, unnest(range(1, CAST(length(b) - 8 AS BIGINT))) AS i, length(replace(substr(b, 10), 'D', '')) % 2 AS lead FROM best),
+letter AS (SELECT conv_id, i, lead, audit[i] AS e, length(replace(audit[1:i], 'I', '')) AS pos, length(replace(audit[1:i - 1], 'D', '')) AS k FROM edit),
+line AS (
+  SELECT l.conv_id, l.i, CASE WHEN e = 'K' THEN role WHEN (k + lead) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+  FROM letter l LEFT JOIN kinds k ON l.conv_id = k.conv_id AND l.pos = k.pos WHERE e <> 'D'
+),
+text AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS text FROM line GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+    count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE pos > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM kinds GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(CAST(substr(b, 1, 9) AS INT), 0) AS BIGINT) AS cost,
+  coalesce(substr(b, 10), '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN text USING (conv_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, langid, mixing, neardup, oracle, pii, quality, runs, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, mixing, neardup, oracle, pii, quality, repair, runs, toxicity, warc
 from .common import fold, table
 
 #: The text of both turns of conversation -1 in the chat query.
@@ -92,5 +92,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *longest, F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_chat, op4_toxicity, op5_mix, op6_pii, op7_main_text, op8_warc, op9_quality, op10_language, op12_runs)}
-SQL = {"op1_decontaminate": oracle.OP1, "op3_chat": oracle.op3(PROBE), "op5_mix": oracle.OP5, "op8_warc": oracle.OP8, "op12_runs": oracle.OP12}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damaged(rows), rows)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_chat, op4_toxicity, op5_mix, op6_pii, op7_main_text, op8_warc, op9_quality, op10_language, op12_runs, op13_repair)}
+SQL = {"op1_decontaminate": oracle.OP1, "op3_chat": oracle.op3(PROBE), "op5_mix": oracle.OP5, "op8_warc": oracle.OP8, "op12_runs": oracle.OP12, "op13_repair": oracle.OP13}
