@@ -189,3 +189,17 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
   coalesce(substr(b, 10), '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN text USING (conv_id)
 """
+
+OP11 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM d),
+c AS (SELECT r, doc_id, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), chr(10))) ELSE 'none ' || r END AS k, s FROM s),
+node AS (SELECT k, min(doc_id) AS low, any_value(n) AS n, any_value(s) AS s FROM c GROUP BY k),
+shingle AS (SELECT k, n, unnest(s) AS g FROM node),
+pair AS (SELECT a.k AS x, b.k AS y, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS met FROM shingle a JOIN shingle b USING (g) WHERE a.k < b.k AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.k, b.k),
+link AS (SELECT x, y FROM pair WHERE 100 * met >= 85 * (m + n - met)),
+ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT k AS x, k AS y FROM node UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x),
+least AS (SELECT r.x AS k, min(low) AS component_id FROM reach r JOIN node ON r.y = node.k GROUP BY r.x)
+SELECT doc_id, n AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM c JOIN least USING (k)
+"""

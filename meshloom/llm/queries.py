@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, htmltext, langid, mixing, neardup, oracle, pii, quality, repair, runs, toxicity, warc
+from . import chat, decontaminate, htmltext, langid, minhash, mixing, neardup, oracle, pii, quality, repair, runs, toxicity, warc
 from .common import fold, table
 
 #: The text of both turns of conversation -1 in the chat query.
@@ -83,6 +83,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False)
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
@@ -97,5 +101,5 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(rows), rows)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_chat, op4_toxicity, op5_mix, op6_pii, op7_main_text, op8_warc, op9_quality, op10_language, op12_runs, op13_repair)}
-SQL = {"op1_decontaminate": oracle.OP1, "op3_chat": oracle.op3(PROBE), "op5_mix": oracle.OP5, "op8_warc": oracle.OP8, "op12_runs": oracle.OP12, "op13_repair": oracle.OP13}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_duplicates, op3_chat, op4_toxicity, op5_mix, op6_pii, op7_main_text, op8_warc, op9_quality, op10_language, op11_minhash, op12_runs, op13_repair)}
+SQL = {"op1_decontaminate": oracle.OP1, "op3_chat": oracle.op3(PROBE), "op5_mix": oracle.OP5, "op8_warc": oracle.OP8, "op11_minhash": oracle.OP11, "op12_runs": oracle.OP12, "op13_repair": oracle.OP13}
