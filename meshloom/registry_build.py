@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.vector import Vec
-from .model import ETYPES, Mesh
+from .model import ETYPES, Mesh, elem_vertex
 from .operators import adapt, adjacency, measure, overlay, split
 from .plans.views import brick, brick_size, table
 from .registry import BRICK, query
-from .storage import written
+from .sources import cards, gmsh, lines
+from .storage import new_path, written
 
 # Lines across the plane whose distances come from a table: as many as the square root of its rows, each wider
 # by what its rows add up to.
@@ -156,3 +157,97 @@ def _long(n: int, edges: DataFrame, fine: DataFrame) -> DataFrame:
 
 def _adapted(n: int, mesh: Mesh, fine: DataFrame) -> tuple[Mesh, DataFrame, int]:
     return adapt.refine_where(mesh, lambda edges: _long(n, edges, fine))
+
+
+def _lines_of(rows: DataFrame, name: str) -> str:
+    """Rows (section, at, i, text) as a text file of many parts, in that order; its path."""
+    path = new_path(rows.sparkSession, name)
+    lines.write(rows.select("section", (F.col("at") * 64 + F.col("i")).alias("at"), "text"), path)
+    return path
+
+
+def _heads(spark, rows: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame([(s, -1, i, t) for i, (s, t) in enumerate(rows)], "section int, at long, i int, text string")
+
+
+def _parts(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 4).alias("x"), F.col("p_retailprice").cast("double").alias("y"), (F.col("p_partkey") % 20 - 10).cast("double").alias("z"))
+
+
+def _conn(n: int):
+    """So many parts for each customer."""
+    return F.array(*[(F.col("c_custkey") * (7 + i) + i * i) % F.col("n") + 1 for i in range(n)])
+
+
+_CONN = "[(c_custkey * (7 + i) + i * i) % n + 1 FOR i IN range({0})]"
+_MADE = "t AS (SELECT c_custkey, c_nationkey, (SELECT count(*) FROM part) AS n FROM customer)"
+
+
+def _customers(spark, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "part").count()
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lit(n).alias("n"))
+
+
+@query(f"""WITH {_MADE} SELECT 9 AS etype, c_custkey AS id, array_to_string({_CONN.format(20)}, ' ') AS conn, 'NATION' || c_nationkey AS name FROM t WHERE c_nationkey % 2 = 0
+UNION ALL SELECT 3, c_custkey, array_to_string({_CONN.format(4)}, ' '), 'NATION' || c_nationkey FROM t WHERE c_nationkey % 2 = 1""")
+def keyword_file(spark, sf_dir) -> DataFrame:
+    """Customers as hexahedra of 20 nodes or quadrilaterals over parts, written as keyword lines that break off at commas, and read back."""
+    rows = _customers(spark, sf_dir)
+    node = _parts(spark, sf_dir).select(F.lit(0).alias("section"), F.col("id").alias("at"), F.lit(0).alias("i"), F.concat_ws(", ", F.col("id").cast("string"), *[lines.number(F.col(c)) for c in "xyz"]).alias("text"))
+    solid, kind = F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")
+    order = [*range(12), *range(16, 20), *range(12, 16)]  # the file has the upper edges' nodes before those between
+    conn = F.when(solid, F.transform(F.array(*map(F.lit, order)), lambda i: F.get(_conn(20), i))).otherwise(_conn(4)).cast("array<string>")
+    cut = F.transform(F.sequence(F.lit(0), F.when(solid, 2).otherwise(0)), lambda k: F.concat(F.when(k == 0, F.concat(F.col("c_custkey").cast("string"), F.lit(", "))).otherwise(""), F.array_join(F.slice(conn, 7 * k + 1, F.lit(7)), ","), F.when(solid & (k < 2), ",").otherwise("")))
+    elem = rows.select((1 + kind).alias("section"), F.col("c_custkey").alias("at"), F.posexplode(cut).alias("i", "text"))
+    head = rows.select("c_nationkey").distinct().select((1 + kind).alias("section"), F.lit(-1).cast("long").alias("at"), F.lit(0).alias("i"), F.concat(F.lit("*ELEMENT, TYPE="), F.when(solid, "C3D20R").otherwise("S4"), F.lit(", ELSET=NATION"), kind.cast("string")).alias("text"))
+    out = _heads(spark, [(0, "*NODE")]).unionByName(node).unionByName(head).unionByName(elem)
+    mesh = cards.abaqus(spark, _lines_of(out, "keywords"))
+    return mesh.elem.join(mesh.tag("NAME").values, ["etype", "id"]).select("etype", "id", F.array_join(F.col("conn").cast("array<string>"), " ").alias("conn"), F.col("value").alias("name"))
+
+
+@query(f"""WITH {_MADE}, v AS (SELECT p_partkey AS id, p_size / 4 AS x, CAST(p_retailprice AS DOUBLE) AS y, CAST(p_partkey % 20 - 10 AS DOUBLE) AS z FROM part),
+e AS (SELECT c_custkey AS id, c_nationkey, unnest({_CONN.format(8)}) AS vid FROM t)
+SELECT e.id, c_nationkey AS material, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z FROM e JOIN v ON v.id = e.vid GROUP BY ALL""")
+def bulk_data(spark, sf_dir) -> DataFrame:
+    """Customers as hexahedra over parts, written as cards with wide and narrow fields over two lines each, and read back with their corners' sums."""
+    rows = _customers(spark, sf_dir)
+    wide = lambda c: F.lpad(c.cast("string"), 16, " ")
+    thin = lambda c: F.lpad(c.cast("string"), 8, " ")
+    at = lambda c: wide(F.format_string("%.6f", F.col(c)))
+    grid = F.array(F.concat(F.lit("GRID*   "), wide(F.col("id")), wide(F.lit("")), at("x"), at("y")), F.concat(F.lit("*       "), at("z")))
+    node = _parts(spark, sf_dir).select(F.lit(0).alias("section"), F.col("id").alias("at"), F.posexplode(grid).alias("i", "text"))
+    conn = [F.get(_conn(8), F.lit(i)) for i in range(8)]
+    hexa = F.array(F.concat(F.lit("CHEXA   "), *map(thin, (F.col("c_custkey"), F.col("c_nationkey"), *conn[:6]))), F.concat(F.lit("+       "), *map(thin, conn[6:])))
+    elem = rows.select(F.lit(1).alias("section"), F.col("c_custkey").alias("at"), F.posexplode(hexa).alias("i", "text"))
+    mesh = cards.nastran(spark, _lines_of(node.unionByName(elem), "cards"))
+    met = elem_vertex(mesh.elem).join(mesh.vertex.withColumnRenamed("id", "vid"), "vid").join(mesh.tag("MATERIAL_SET").values, ["etype", "id"])
+    return met.groupBy("id", F.col("value").alias("material")).agg(*[F.round(F.sum(c), 3).alias(c) for c in "xyz"])
+
+
+@query(f"""WITH {_MADE} SELECT CASE c_nationkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 9 END AS etype, c_custkey AS id, c_nationkey AS material,
+  array_to_string(CASE c_nationkey % 3 WHEN 0 THEN {_CONN.format(2)} WHEN 1 THEN {_CONN.format(4)} ELSE {_CONN.format(8)} END, ' ') AS conn FROM t""")
+def universal_file(spark, sf_dir) -> DataFrame:
+    """Customers as beams, quadrilaterals and hexahedra in records of two and three lines, which only the record before tells apart, read back."""
+    rows = _customers(spark, sf_dir)
+    ten = lambda *c: F.concat(*[F.lpad((x if not isinstance(x, int) else F.lit(x)).cast("string"), 10, " ") for x in c])
+    pair = F.array(ten(F.col("id"), 1, 1, 11), F.concat_ws("  ", F.lit(""), *[F.format_string("%.6fD+00", F.col(c)) for c in "xyz"]))
+    node = _parts(spark, sf_dir).select(F.lit(0).alias("section"), F.col("id").alias("at"), F.posexplode(pair).alias("i", "text"))
+    key, kind = F.col("c_custkey"), F.col("c_nationkey") % 3
+    first = lambda number, n: ten(key, number, 2, F.col("c_nationkey"), 7, n)
+    line = lambda n: ten(*[F.get(_conn(n), F.lit(i)) for i in range(n)])
+    text = F.when(kind == 0, F.array(first(21, 2), ten(0, 1, 1), line(2))).when(kind == 1, F.array(first(44, 4), line(4))).otherwise(F.array(first(115, 8), line(8)))
+    elem = rows.select(F.lit(1).alias("section"), key.alias("at"), F.posexplode(text).alias("i", "text"))
+    heads = [(0, "    -1"), (0, "  2411"), (1, "    -1"), (1, "    -1"), (1, "  2412")]
+    end = spark.createDataFrame([(2, 0, 0, "    -1")], "section int, at long, i int, text string")
+    mesh = cards.ideas(spark, _lines_of(_heads(spark, heads).unionByName(node).unionByName(elem).unionByName(end), "universal"))
+    met = mesh.elem.join(mesh.tag("MATERIAL_SET").values, ["etype", "id"])
+    return met.select("etype", "id", F.col("value").alias("material"), F.array_join(F.col("conn").cast("array<string>"), " ").alias("conn"))
+
+
+@query(f"""WITH {_MADE} SELECT 9 AS etype, c_custkey AS id, array_to_string({_CONN.format(27)}, ' ') AS conn FROM t""")
+def second_order_file(spark, sf_dir) -> DataFrame:
+    """Customers as hexahedra of 27 nodes, written and read back."""
+    elem = _customers(spark, sf_dir).select(F.lit(9).alias("etype"), F.col("c_custkey").alias("id"), _conn(27).alias("conn"))
+    path = new_path(spark, "second-order")
+    gmsh.write(Mesh(_parts(spark, sf_dir), elem), path)
+    return gmsh.read(spark, path).elem.select("etype", "id", F.array_join(F.col("conn").cast("array<string>"), " ").alias("conn"))

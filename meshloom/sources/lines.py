@@ -22,14 +22,37 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(before, ["file", "block"]).select((F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), F.regexp_replace("text", "\\r$", "").alias("text"))
 
 
+def carried(rows: DataFrame, mark: Column) -> DataFrame:
+    """rows (line, ...) with mark: that of the last line up to each whose mark isn't null. Marks grow with the lines.
+
+    Each line's chunk is summed up in one row; chunks are scanned in order, lines only inside their chunk.
+    """
+    rows = rows.withColumn("__mark", mark).withColumn("__chunk", F.floor(F.col("line") / CHUNK))
+    ahead = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a chunk
+    before = rows.groupBy("__chunk").agg(F.max("__mark").alias("__m")).select("__chunk", F.max("__m").over(ahead).alias("__before"))
+    own = F.max("__mark").over(Window.partitionBy("__chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    met = rows.withColumn("__own", own).join(before, "__chunk")
+    return met.withColumn("mark", F.coalesce("__own", "__before")).drop("__mark", "__chunk", "__own", "__before")
+
+
 def sections(rows: DataFrame, head: str) -> DataFrame:
-    """(head_line, head, line, text): lines after each line that matches head, up to the next one that does.
+    """(head_line, head, line, text): lines after each line that matches head, up to the next one that does."""
+    met = carried(rows.select("line", "text"), F.when(F.col("text").rlike(head), F.struct("line", "text")))
+    return met.filter("mark is not null and line > mark.line").select(F.col("mark.line").alias("head_line"), F.trim("mark.text").alias("head"), "line", "text")
+
+
+def records(rows: DataFrame, begins: Column | None = None, *, ends: Column | None = None) -> DataFrame:
+    """(line, texts): lines put together to records, in order; line is the first one's.
 
-    Heads are few, so they are ordered in one task and broadcast.
+    A record begins with each line for which `begins` holds (lines before the first of them are left out), or
+    after each line for which `ends` holds. A record's lines are one row, as its fields are one element.
     """
-    heads = rows.filter(F.col("text").rlike(head)).select(F.col("line").alias("head_line"), F.trim("text").alias("head"))
-    heads = heads.withColumn("until", F.coalesce(F.lead("head_line").over(Window.orderBy("head_line")), F.lit((1 << 63) - 1)))
-    return rows.join(F.broadcast(heads), (F.col("line") > F.col("head_line")) & (F.col("line") < F.col("until"))).select("head_line", "head", "line", "text")
+    if begins is not None:
+        rows = carried(rows.select("line", "text"), F.when(begins, F.col("line"))).filter("mark is not null")
+    else:
+        rows = counted(rows.select(F.lit(0).alias("head_line"), "line", "text"), ends).withColumnRenamed("before", "mark")
+    grouped = rows.groupBy("mark").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all"))
+    return grouped.select("line", F.transform("all", lambda x: x["text"]).alias("texts"))
 
 
 def counted(rows: DataFrame, size: Column) -> DataFrame:
