@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions import polyhedron
 from .functions.vector import Vec
 from .model import ETYPES, Mesh, elem_vertex
-from .operators import adapt, adjacency, measure, overlay, split
+from .operators import adapt, adjacency, measure, obb, overlay, reconstruct, split
 from .plans.views import brick, brick_size, table
 from .registry import BRICK, query
 from .sources import cards, gmsh, lines
@@ -251,3 +254,67 @@ def second_order_file(spark, sf_dir) -> DataFrame:
     path = new_path(spark, "second-order")
     gmsh.write(Mesh(_parts(spark, sf_dir), elem), path)
     return gmsh.read(spark, path).elem.select("etype", "id", F.array_join(F.col("conn").cast("array<string>"), " ").alias("conn"))
+
+
+# A plane through a box of sizes l with normal n and distance d leaves of it, by inclusion and exclusion over its corners,
+_SLICE = "(" + " + ".join(f"{(-1) ** bin(k).count('1')} * pow(greatest(d{''.join(f' - n{i} * l{i}' for i in range(3) if k >> i & 1)}, 0), 3)" for k in range(8)) + ") / (6 * n0 * n1 * n2)"
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 5 AS l0, 1.0 + c_custkey % 3 AS m1, 1.0 + c_custkey % 4 AS l2, 1.0 + c_nationkey % 2 AS n0, 1.0 + c_nationkey % 3 AS n1, 1.0 + c_nationkey % 5 AS n2,
+  0.531 + c_custkey % 11 AS d, 0.472 + (c_custkey % 9) / 4.0 AS h FROM customer), u AS (SELECT *, least(m1, h) AS l1 FROM t)
+SELECT id, round({_SLICE}, 6) AS volume, d > 0.1 * (n0 * l0 + n1 * m1 + n2 * l2) AND h > 0.1 * m1 AS holds FROM u""")
+def polyhedron_cuts(spark, sf_dir) -> DataFrame:
+    """Boxes cut by a slanted plane and by an upright one: what is left, and whether it holds a point near a corner."""
+    k, c = F.col("c_custkey"), F.col("c_nationkey")
+    size = Vec(1.0 + k % 5, 1.0 + k % 3, 1.0 + k % 4)
+    n = Vec(1.0 + c % 2, 1.0 + c % 3, 1.0 + c % 5)
+    planes = F.array(polyhedron.plane(n.x, n.y, n.z, 0.531 + k % 11), polyhedron.plane(0, 1, 0, 0.472 + (k % 9) / 4.0))
+    whole = polyhedron.box(Vec(F.lit(0.0), F.lit(0.0), F.lit(0.0)), size)
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), whole.alias("whole"), planes.alias("planes"), size.scale(0.1).struct().alias("p"))
+    rows = rows.select("id", "p", polyhedron.cut_all(F.col("whole"), F.col("planes")).alias("left"))
+    return rows.select("id", F.round(polyhedron.volume(F.col("left")), 6).alias("volume"), polyhedron.holds(F.col("left"), Vec.of(F.col("p"))).alias("holds"))
+
+
+# The orthonormal frame in which the customers of a nation spread.
+_FRAME = ((2 / 3, -1 / 3, 2 / 3), (2 / 3, 2 / 3, -1 / 3), (-1 / 3, 2 / 3, 2 / 3))
+_SPREAD = "t AS (SELECT c_nationkey AS \"group\", max(40 + c_custkey % 9) AS u, max(10 + c_custkey % 5) AS v, max(1 + c_custkey % 3) AS w FROM customer GROUP BY ALL)"
+
+
+def _spread(spark, sf_dir: str) -> DataFrame:
+    """Each customer's eight points, mirrored in the three planes of the frame, around the nation's middle."""
+    k, c = F.col("c_custkey"), F.col("c_nationkey")
+    lengths = (40 + k % 9, 10 + k % 5, 1 + k % 3)
+    signs = F.array(*[F.struct(*[F.lit(s).alias(n) for s, n in zip(x, "uvw", strict=True)]) for x in product((-1, 1), repeat=3)])
+    rows = table(spark, sf_dir, "customer").select(c.alias("group"), *[n.alias("l" + x) for n, x in zip(lengths, "uvw", strict=True)], F.explode(signs).alias("s"))
+    at = [sum((F.col("l" + x) * F.col(f"s.{x}") * _FRAME[i][j] for i, x in enumerate("uvw")), F.lit(0.0)) for j in range(3)]
+    return rows.select("group", *[(a + (j + 1) * F.col("group")).alias(n) for j, (a, n) in enumerate(zip(at, "xyz", strict=True))])
+
+
+@query(f"WITH {_SPREAD} SELECT \"group\", round(w::DOUBLE, 6) AS short, round(v::DOUBLE, 6) AS middle, round(u::DOUBLE, 6) AS long, round(\"group\"::DOUBLE, 6) AS x, round(100.0 - u, 6) AS enter, round(100.0 + u, 6) AS leave, 5.0::DOUBLE AS gap, false AS holds, round(8.0 * u * v * w, 4) AS volume FROM t")
+def oriented_boxes(spark, sf_dir) -> DataFrame:
+    """The box of each nation's customers, a ray along its longest axis, and a point 3 and 4 outside of two of its faces."""
+    boxes = obb.of_points(_spread(spark, sf_dir)).select("group", F.struct("center", "axes", "half").alias("b"))
+    box, axis = F.col("b"), [Vec(*map(F.lit, row)) for row in _FRAME]
+    middle = Vec(*[((j + 1) * F.col("group")).cast("double") for j in range(3)])
+    hit = obb.ray(box, middle + axis[0].scale(100.0), axis[0].scale(-1.0))
+    p = middle + axis[0].scale(F.get(box["half"], F.lit(2)) + 3) + axis[1].scale(F.get(box["half"], F.lit(1)) + 4)
+    gap = (Vec.of(obb.closest(box, p)) - p).norm()
+    half = [F.round(F.get(box["half"], F.lit(i)), 6).alias(n) for i, n in enumerate(("short", "middle", "long"))]
+    return boxes.select("group", *half, F.round(box["center"]["x"], 6).alias("x"), F.round(hit["enter"], 6).alias("enter"), F.round(hit["leave"], 6).alias("leave"), F.round(gap, 6).alias("gap"), obb.holds(box, p).alias("holds"), F.round(obb.volume(box), 4).alias("volume"))
+
+
+def _cubic(x, y):
+    return 1 + x / 10 - y / 20 + x * x / 100 - x * y / 150 + x * x * x / 10000
+
+
+@query(f"""WITH {_A}, n AS (SELECT count(*) AS n FROM a), c AS (SELECT x.i + n * y.i AS pid, (x.lo + x.hi) / 2 AS u, (y.lo + y.hi) / 2 AS v FROM a x, a y, n),
+p AS (SELECT pid, u + {LEAN_X} * v AS x, v + {LEAN_Y} * u AS y FROM c)
+SELECT pid, round(x, 5) AS x, round(y, 5) AS y, round(1 + x / 10 - y / 20 + x * x / 100 - x * y / 150 + x * x * x / 10000, 4) AS z FROM p""")
+def reconstructed_surface(spark, sf_dir) -> DataFrame:
+    """The middle of each face of a lattice that lies on a cubic surface, moved to the surface of degree 3 that its vertices alone give."""
+    mesh = lattice(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    mesh = Mesh(written(mesh.vertex.withColumn("z", _cubic(F.col("x"), F.col("y"))), "surface"), mesh.elem)
+    up = mesh.vertex.select("id", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    points = mesh.elem.select(F.col("id").alias("pid"), "etype", "id", F.array(*[F.lit(0.25)] * 4).alias("weight"))
+    out = reconstruct.moved(mesh, reconstruct.fit(mesh, 3, n_rings=3, normal=up), 3, points)
+    return out.select("pid", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("z", 4).alias("z"))
