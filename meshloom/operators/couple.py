@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shape
-from ..model import Mesh, elem_vertex
+from ..model import Mesh, MeshError, dimension, elem_vertex
 from .measure import with_points
 from .spatial import CELL, _cell, _cover
 
@@ -16,11 +18,16 @@ ID = ["etype", "id"]
 def locate(points: DataFrame, mesh: Mesh, width: float, tolerance: float = 1e-9, dim: int = 3) -> DataFrame:
     """(pid, etype, id, at): for each point (pid, x, y, z) the least element that holds it and its local coordinates there; null if none does.
 
-    Elements of dimension dim with shape functions count, those of lower dimension only with points in their
-    plane or line. Points and element boxes meet in grid cells as wide as `width`; the inverse map decides.
+    Elements of dimension dim count, those of lower dimension only with points in their plane or line; one that has
+    no shape functions (polygons, knives, polyhedra) is an error. Points and element boxes meet in grid cells as wide as
+    `width`; the inverse map decides. Corners alone give the elements' form.
     """
     names = [n for n in shape.KINDS if {"EDGE": 1, "TRI": 2, "QUAD": 2}.get(n, 3) == dim]
-    solid = with_points(mesh).filter(F.col("etype").isin([shape.ETYPES[n] for n in names]))
+    solid = mesh.elem.filter(dimension(F.col("etype")) == dim)
+    other = solid.filter(~F.col("etype").isin([shape.ETYPES[n] for n in names])).select("etype").limit(1).collect()
+    if other:
+        raise MeshError(f"points can't be located in elements of type {other[0][0]}")
+    solid = with_points(replace(mesh, elem=solid))
     part = lambda f, c: f(F.transform("p", lambda v: v[c]))
     slack = 1e-6 * width
     cells = _cover(solid, [part(F.array_min, c) - slack for c in "xyz"], [part(F.array_max, c) + slack for c in "xyz"], width)

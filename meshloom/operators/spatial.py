@@ -100,11 +100,12 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
 def inside_surface(points: DataFrame, triangles: DataFrame, width: float, length: float) -> DataFrame:
     """(pid, inside): whether each point (pid, x, y, z) lies in the closed surface of outward triangles.
 
-    The first crossing of a ray tells: leaving means inside. The direction is askew, so that rays seldom pass
-    through edges; length must reach beyond the surface.
+    The first crossing of a ray tells: leaving means inside. Where crossings tie, as on an edge between a triangle
+    that is entered and one that is left, the ray has only touched the surface and counts as outside. The direction
+    is askew, so that rays seldom pass through edges; length must reach beyond the surface.
     """
     d = (0.8017837257372732, 0.5345224838248488, 0.2672612419124244)  # (3, 2, 1), unit length
     rays = points.select(F.col("pid").alias("rid"), F.struct("x", "y", "z").alias("o"), F.struct(*[F.lit(v).alias(c) for v, c in zip(d, "xyz", strict=True)]).alias("d"), F.lit(length).alias("length"))
-    first = ray_hits(rays, triangles, width).groupBy("rid").agg(F.min(F.struct("t", "entering")).alias("m"))
+    first = ray_hits(rays, triangles, width).groupBy("rid").agg(F.min(F.struct(F.round("t", 9).alias("t"), (~F.col("entering")).alias("leaving"))).alias("m"))
     met = points.select("pid").join(first.withColumnRenamed("rid", "pid"), "pid", "left")
-    return met.select("pid", (F.col("m").isNotNull() & ~F.col("m.entering")).alias("inside"))
+    return met.select("pid", F.coalesce(F.col("m.leaving"), F.lit(False)).alias("inside"))

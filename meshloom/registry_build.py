@@ -7,10 +7,11 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import polyhedron
+from .functions import polyhedron, shape
+from .functions.numbering import positions_of
 from .functions.vector import Vec
 from .model import ETYPES, Mesh, elem_vertex
-from .operators import adapt, adjacency, measure, obb, overlay, reconstruct, split
+from .operators import adapt, adjacency, measure, obb, overlay, reconstruct, spectral, split
 from .plans.views import brick, brick_size, table
 from .registry import BRICK, query
 from .sources import cards, gmsh, lines
@@ -318,3 +319,47 @@ def reconstructed_surface(spark, sf_dir) -> DataFrame:
     points = mesh.elem.select(F.col("id").alias("pid"), "etype", "id", F.array(*[F.lit(0.25)] * 4).alias("weight"))
     out = reconstruct.moved(mesh, reconstruct.fit(mesh, 3, n_rings=3, normal=up), 3, points)
     return out.select("pid", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("z", 4).alias("z"))
+
+
+@query(f"""WITH {_A}, {_B}, e AS (SELECT (SELECT max(hi) FROM a) AS top), nb AS (SELECT count(*) AS n FROM b), t AS (SELECT i, lo, least(hi, top) AS hi FROM b, e WHERE lo < top),
+m AS (SELECT x.i + n * y.i AS id, (x.lo + x.hi) / 2 AS u, (y.lo + y.hi) / 2 AS v, (x.lo * x.lo + x.lo * x.hi + x.hi * x.hi) / 3 AS uu, (y.lo * y.lo + y.lo * y.hi + y.hi * y.hi) / 3 AS vv FROM t x, t y, nb)
+SELECT id, round(1 + (u + {LEAN_X} * v) / 10 + ({LEAN_Y} * uu + (1 + {LEAN_X} * {LEAN_Y}) * u * v + {LEAN_X} * vv) / 50, 5) AS value FROM m""")
+def spectral_means(spark, sf_dir) -> DataFrame:
+    """A quadratic field at the Gauss-Lobatto nodes of one lattice's elements, as exact means over what they cover of the other's faces."""
+    source, target = lattice(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), lattice(spark, sf_dir, "part", "p_partkey", "p_size")
+    w = spectral.weights(source, target, 5.0, 3)
+    values = spectral.nodal_places(source, 3).select("id", "k", (1 + F.col("x") / 10 + F.col("x") * F.col("y") / 50).alias("value"))
+    return spectral.apply(w, values).select("id", F.round("value", 5).alias("value"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 1.0 + c_custkey % 5 AS a, 1.0 + c_custkey % 3 AS b, 1.0 + c_custkey % 4 AS h, c_nationkey AS s FROM customer)
+SELECT id, round(a * b * h / 2 * (s + a / 3 + b / 3 + h / 2), 6) AS prism, round(a * b * h / 3 * (s + 0.375 * a + 0.375 * b + h / 4), 6) AS pyramid, 0.25 AS u, round(h / 2, 6) AS height,
+  round(a * b * h * (s + a * a / 3 + a * b / 4 + b * h / 4 + h * h / 3), 5) AS hexahedron, round(a * b / 2 * (s + a * a / 6 + a * b / 12), 6) AS triangle FROM t""")
+def higher_elements(spark, sf_dir) -> DataFrame:
+    """Integrals of linear fields over prisms and pyramids, of quadratic ones over hexahedra of 27 nodes and triangles of six, and a point found in a prism and a pyramid."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), (1.0 + k % 5).alias("a"), (1.0 + k % 3).alias("b"), (1.0 + k % 4).alias("h"), F.col("c_nationkey").cast("double").alias("s"))
+    a, b, h, s = (F.col(c) for c in "abhs")
+    at = lambda x, y, z: F.struct((a * x).alias("x"), (b * y).alias("y"), (h * z).alias("z"))
+    forms = {
+        "prism": [(x, y, z) for z in (0, 1) for x, y in ((0, 0), (1, 0), (0, 1))],
+        "pyramid": [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1)],
+        "hexahedron": [tuple((c + 1) / 2 for c in node) for node in hexahedron_nodes()],
+        "triangle": [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0.5, 0, 0), (0.5, 0.5, 0), (0, 0.5, 0)],
+    }
+    rows = rows.select("id", *"abhs", *[F.array(*[at(*map(float, p)) for p in points]).alias(n) for n, points in forms.items()])
+    linear = lambda n: F.transform(n, lambda v: s + v["x"] + v["y"] + v["z"])
+    square = lambda n: F.transform(n, lambda v: s + v["x"] * v["x"] + v["x"] * v["y"] + v["y"] * v["z"] + v["z"] * v["z"])
+    target = at(0.25, 0.25, 0.5)
+    local = rows.select("*", shape.inverse("PRISM", F.col("prism"), target).alias("in_prism"), shape.inverse("PYRAMID", F.col("pyramid"), target).alias("in_pyramid"))
+    back = shape.place("PYRAMID", F.col("pyramid"), F.col("in_pyramid"))
+    whole = [shape.integral("PRISM", F.col("prism"), linear("prism")).alias("prism"), shape.integral("PYRAMID", F.col("pyramid"), linear("pyramid")).alias("pyramid"), shape.integral("HEX", F.col("hexahedron"), square("hexahedron"), 27).alias("hexahedron"), shape.integral("TRI", F.col("triangle"), square("triangle"), 6).alias("triangle")]
+    out = local.select("id", *whole, F.col("in_prism.u").alias("u"), back.z.alias("height"))
+    return out.select("id", F.round("prism", 6).alias("prism"), F.round("pyramid", 6).alias("pyramid"), F.round("u", 9).alias("u"), F.round("height", 6).alias("height"), F.round("hexahedron", 5).alias("hexahedron"), F.round("triangle", 6).alias("triangle"))
+
+
+def hexahedron_nodes() -> list[tuple[int, ...]]:
+    """Local coordinates of the 27 nodes of a hexahedron, in canonical order."""
+    corner = shape.CUBE["HEX"]
+    middle = lambda places: tuple(sum(corner[i][d] for i in places) // len(places) for d in range(3))
+    return [*corner, *[middle(e) for e in positions_of("HEX", 1)], *[middle(f) for f in positions_of("HEX", 2)], (0, 0, 0)]
