@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import corners, explode_sides, forward, side_etype
+from ..functions.rings import chained
 from ..functions.vector import Vec
 from ..model import ETYPES, Mesh, MeshError, dimension, elem_vertex
 from ..storage import numbered, written
@@ -131,29 +131,12 @@ def stars(elem: DataFrame) -> DataFrame:
     corner = corners(F.col("etype"), F.col("conn"))
     faces = elem.filter(dimension(F.col("etype")) == 2).select("etype", "id", corner.alias("c"), F.posexplode(corner).alias("p", "vid"))
     n = F.size("c")
-    around = faces.select("vid", "etype", "id", F.get("c", (F.col("p") + n - 1) % n).alias("before"), F.get("c", (F.col("p") + 1) % n).alias("after"))
-
-    def order(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["etype", "id"]).reset_index(drop=True)
-        at: dict[int, list[int]] = {}
-        for i, (x, y) in enumerate(zip(g["before"], g["after"], strict=True)):
-            at.setdefault(x, []).append(i)
-            at.setdefault(y, []).append(i)
-        left, out, fans, closed = set(range(len(g))), [], 0, True
-        while left:
-            ends = [i for i in sorted(left) if any(len(at[v]) == 1 for v in (g["before"][i], g["after"][i]))]
-            i = ends[0] if ends else min(left)
-            closed, fans = closed and not ends, fans + 1
-            while i is not None:
-                left.discard(i)
-                out.append(i)
-                nexts = [j for v in (g["after"][i], g["before"][i]) for j in at[v] if j in left]
-                i = nexts[0] if nexts else None
-        g = g.loc[out].reset_index(drop=True)
-        return g.assign(pos=g.index, closed=closed and fans == 1, fans=fans)[["vid", "pos", "etype", "id", "closed", "fans"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in around.schema}
-    return around.groupBy("vid").applyInPandas(order, f"vid {kinds['vid']}, pos long, etype {kinds['etype']}, id {kinds['id']}, closed boolean, fans long")
+    end = lambda step: F.get("c", (F.col("p") + step) % n)
+    around = faces.select("vid", F.struct("etype", "id", end(n - 1).alias("a"), end(1).alias("b")).alias("f"))
+    grouped = around.groupBy("vid").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    ordered = grouped.select("vid", "f", chained(F.col("f")).alias("o"))
+    placed = ordered.select("vid", "f", "o.fans", "o.closed", F.posexplode("o.order").alias("pos", "i")).withColumn("f", F.get("f", F.col("i")))
+    return placed.select("vid", F.col("pos").cast("long").alias("pos"), "f.etype", "f.id", "closed", F.col("fans").cast("long").alias("fans"))
 
 
 def nonmanifold_vertices(elem: DataFrame) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import polyhedron, shape
 from .functions.numbering import positions_of
 from .functions.vector import Vec
 from .model import ETYPES, Mesh, elem_vertex
-from .operators import adapt, adjacency, measure, obb, overlay, reconstruct, spectral, split
+from .operators import adapt, adjacency, dual, measure, obb, overlay, partition, reconstruct, refine, spectral, split
 from .plans.views import brick, brick_size, table
 from .registry import BRICK, query
 from .sources import cards, gmsh, lines
@@ -28,8 +28,6 @@ LEAN_X, LEAN_Y = 0.3, 0.2
 
 def lattice(spark, sf_dir: str, name: str, key: str, of: str) -> Mesh:
     """Parallelograms between leaning lines; face i + n * j, vertex i + (n + 1) * j from 1."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, name)
     n = rows.agg(F.greatest(F.lit(2), F.floor(F.sqrt(F.count("*") + 0.5))).alias("n")).first()[0]
     width = rows.groupBy((F.col(key) % n).alias("i")).agg((1 + F.sum(F.col(of).cast("long")) % 3).alias("w"))
@@ -363,3 +361,119 @@ def hexahedron_nodes() -> list[tuple[int, ...]]:
     corner = shape.CUBE["HEX"]
     middle = lambda places: tuple(sum(corner[i][d] for i in places) // len(places) for d in range(3))
     return [*corner, *[middle(e) for e in positions_of("HEX", 1)], *[middle(f) for f in positions_of("HEX", 2)], (0, 0, 0)]
+
+
+# Some cells of the brick are left out, as the customers' nations tell.
+_LEFT = """c AS (SELECT c_custkey % (n * n * n) AS i, sum(c_nationkey) % 4 > 0 AS here FROM customer, s GROUP BY ALL), h AS (SELECT b.* FROM b JOIN c ON c.i = b.id - 1 WHERE here)"""
+
+
+def _holed_brick(spark, sf_dir: str) -> tuple[Mesh, int]:
+    n = brick_size(spark, sf_dir)
+    mesh = brick(spark, n)
+    here = table(spark, sf_dir, "customer").groupBy((1 + F.col("c_custkey") % (n**3)).alias("id")).agg((F.sum("c_nationkey") % 4 > 0).alias("here")).filter("here")
+    return Mesh(mesh.vertex, mesh.elem.join(here.select("id"), "id", "left_semi").select("etype", "id", "conn")), n
+
+
+_AROUND = " UNION ALL ".join(
+    f"SELECT h.id, {p} AS p, {q} AS q, {r} AS r, '{axis}' AS axis, (CASE WHEN du = 0 THEN (CASE WHEN dv = 0 THEN 0 ELSE 3 END) ELSE (CASE WHEN dv = 0 THEN 1 ELSE 2 END) END) AS turn, n FROM h, (SELECT unnest([0, 0, 1, 1]) AS du, unnest([0, 1, 0, 1]) AS dv)"
+    for axis, p, q, r in (("z", "h.x + du", "h.y + dv", "h.z"), ("x", "h.x", "h.y + du", "h.z + dv"), ("y", "h.x + du", "h.y", "h.z + dv"))
+)
+
+
+@query(f"""{BRICK}, {_LEFT}, w AS ({_AROUND}), m AS (SELECT axis, p, q, r, n, count(*) AS k, sum(1 << turn) AS mask FROM w GROUP BY ALL)
+SELECT 1 + p + (n + 1) * q + (n + 1) * (n + 1) * r AS a, 1 + p + (n + 1) * q + (n + 1) * (n + 1) * r + CASE axis WHEN 'x' THEN 1 WHEN 'y' THEN n + 1 ELSE (n + 1) * (n + 1) END AS b,
+  CAST(k AS INT) AS n, k = 4 AS closed, CASE WHEN mask IN (5, 10) THEN 2 ELSE 1 END AS fans FROM m""")
+def edge_rings(spark, sf_dir) -> DataFrame:
+    """The cells around each edge of a brick with holes: how many, whether they close, and into how many fans they fall."""
+    mesh, _ = _holed_brick(spark, sf_dir)
+    return dual.edge_rings(mesh.elem).select("a", "b", F.size("ring").alias("n"), "closed", "fans")
+
+
+@query(f"""{BRICK}, {_LEFT}, k AS (SELECT x + dx AS p, y + dy AS q, z + dz AS r, n, count(*) AS k FROM h, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dz) GROUP BY ALL)
+SELECT 1 + p + (n + 1) * q + (n + 1) * (n + 1) * r AS vid, 6 AS n FROM k WHERE k = 8""")
+def dual_cells(spark, sf_dir) -> DataFrame:
+    """Vertices of the brick with holes whose dual cell is a polyhedron, and its number of faces."""
+    mesh, _ = _holed_brick(spark, sf_dir)
+    return dual.cells(mesh.elem).filter("whole").select("vid", F.size("faces").alias("n"))
+
+
+@query(f"{BRICK}, d AS (SELECT unnest([0, 1, 2]) AS axis) SELECT id, axis, count(*) OVER (PARTITION BY axis, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END) AS size FROM b, d")
+def hexahedron_sheets(spark, sf_dir) -> DataFrame:
+    """For each cell and direction, how many cells its sheet has."""
+    rows = dual.sheets(brick(spark, brick_size(spark, sf_dir)).elem)
+    size = rows.groupBy("sheet").agg(F.count("*").alias("size"))
+    return rows.join(size, "sheet").select("id", "axis", "size")
+
+
+_BITS = 8
+
+
+def _hilbert_sql(rows: str) -> str:
+    """Hilbert keys (id, key) of rows (id, x0, x1, x2), a step for each bit and direction."""
+    out = f"SELECT id, CAST(x0 AS BIGINT) AS x0, CAST(x1 AS BIGINT) AS x1, CAST(x2 AS BIGINT) AS x2 FROM {rows}"
+    for b in range(_BITS - 1, 0, -1):
+        q, low = 1 << b, (1 << b) - 1
+        for i in range(3):
+            others = ", ".join(f"x{j}" for j in (1, 2) if j != i)
+            own = f", CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, xor(x0, x{i}) & {low}) END AS x{i}" if i else ""
+            out = f"SELECT id, CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {low}) ELSE xor(x0, xor(x0, x{i}) & {low}) END AS x0{own}, {others} FROM ({out})"
+    out = f"SELECT id, x0, xor(x1, x0) AS x1, xor(x2, xor(x1, x0)) AS x2 FROM ({out})"
+    flip = "0"
+    for b in range(_BITS - 1, 0, -1):
+        flip = f"xor({flip}, CASE WHEN x2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    out = f"SELECT id, xor(x0, f) AS x0, xor(x1, f) AS x1, xor(x2, f) AS x2 FROM (SELECT *, CAST({flip} AS BIGINT) AS f FROM ({out}))"
+    key = " + ".join(f"(((x{i} >> {b}) & 1) << {3 * b + 2 - i})" for b in range(_BITS) for i in range(3))
+    return f"SELECT id, CAST({key} AS BIGINT) AS key FROM ({out})"
+
+
+_PART_CELLS = "(SELECT p_partkey AS id, p_partkey % 200 AS x0, p_size AS x1, CAST(floor(p_retailprice) AS BIGINT) % 256 AS x2 FROM part)"
+
+
+@query(f"WITH k AS ({_hilbert_sql(_PART_CELLS)}) SELECT id, key, CAST(ntile(8) OVER (ORDER BY key, id) - 1 AS BIGINT) AS part FROM k")
+def curve_parts(spark, sf_dir) -> DataFrame:
+    """Parts' places along Hilbert's curve by number, size and price, and eight runs of equal length."""
+    cells = [F.col("p_partkey") % 200, F.col("p_size"), F.floor("p_retailprice") % 256]
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), partition.hilbert(cells, _BITS).alias("key"))
+    return refine.blocks(rows, ["key", "id"], 8)
+
+
+_ALONG = """t AS (SELECT c_custkey AS id, c_custkey * 1.0 AS u FROM customer), l AS (SELECT id, u, row_number() OVER (ORDER BY u) <= ceil(count(*) OVER () / 2.0) AS low FROM t),
+m AS (SELECT id, low, row_number() OVER (PARTITION BY low ORDER BY u) <= ceil(count(*) OVER (PARTITION BY low) / 2.0) AS less FROM l)"""
+
+
+@query(f"WITH {_ALONG} SELECT id, dense_rank() OVER (ORDER BY low DESC, less DESC) - 1 AS part FROM m")
+def inertia_parts(spark, sf_dir) -> DataFrame:
+    """Customers strung along a slanted line, cut into four where they lie, from the end with the least number on."""
+    k = F.col("c_custkey")
+    lengths = (k, k % 7 / 100, k % 5 / 100)
+    at = [sum((x * _FRAME[i][j] for i, x in enumerate(lengths)), F.lit(0.0)) for j in range(3)]
+    rows = partition.by_inertia(table(spark, sf_dir, "customer").select(k.alias("id"), *[a.alias(c) for a, c in zip(at, "xyz", strict=True)]), 2)
+    first = rows.groupBy("part").agg(F.min("id").alias("least"))  # the axis may point either way
+    order = first.select("part", (F.row_number().over(Window.orderBy("least")) - 1).cast("long").alias("place"))
+    return rows.join(order, "part").select("id", F.col("place").alias("part"))
+
+
+@query(f"{BRICK} SELECT CAST(p AS BIGINT) AS part, count(*) AS n, true AS fewer FROM (SELECT ntile(4) OVER (ORDER BY hash_order, id) - 1 AS p FROM (SELECT id, (id * 7919) % 1009 AS hash_order FROM b)) GROUP BY p")
+def graph_parts(spark, sf_dir) -> DataFrame:
+    """Cells dealt out at random, then swapped between parts: sizes stay, edges between parts become a fifth fewer at least."""
+    n = brick_size(spark, sf_dir)
+    mesh = brick(spark, n)
+    start = refine.blocks(mesh.elem.select("id", ((F.col("id") * 7919) % 1009).alias("o")), ["o", "id"], 4).select(F.col("id").alias("node"), "part")
+    start = written(start, "start-parts")
+    edges = written(adjacency.siblings(mesh.elem, 2).select(F.col("id").alias("a"), F.col("other_id").alias("b")), "cell-graph")
+    end = partition.swapped(edges, start)
+    single = edges.filter("a < b").distinct()
+    fewer = partition.cut_edges(single, end) <= 0.8 * partition.cut_edges(single, start)
+    return end.groupBy("part").agg(F.count("*").alias("n")).select("part", "n", F.lit(fewer).alias("fewer"))
+
+
+@query(f"""{BRICK}, g AS (SELECT id, x, y, z, CAST(floor(x * 2 / n) AS BIGINT) AS i, n FROM b)
+SELECT id, p AS part, w AS west, t AS top FROM (SELECT id, pi + 2 * (pj + 2 * pk) AS p, CASE WHEN pi > 0 THEN pi - 1 + 2 * (pj + 2 * pk) END AS w, CASE WHEN pk < 1 THEN pi + 2 * (pj + 2 * (pk + 1)) END AS t
+FROM (SELECT id, CAST(x >= (n + 1) // 2 AS BIGINT) AS pi, CAST(y >= (n + 1) // 2 AS BIGINT) AS pj, CAST(z >= (n + 1) // 2 AS BIGINT) AS pk FROM g))""")
+def structured_owners(spark, sf_dir) -> DataFrame:
+    """The part of each cell of the brick, cut into eight pieces as alike as can be, and the parts to its west and above."""
+    n = brick_size(spark, sf_dir)
+    grid = partition.structured("ijk square", (0, 0, 0), (n, n, n), 8)
+    i = F.col("id") - 1
+    rows = brick(spark, n).elem.select("id", grid.owner([i % n, F.floor(i / n) % n, F.floor(i / (n * n))]).alias("part"))
+    return rows.select("id", "part", grid.neighbour(F.col("part"), (-1, 0, 0)).alias("west"), grid.neighbour(F.col("part"), (0, 0, 1)).alias("top"))
