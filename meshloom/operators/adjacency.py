@@ -73,6 +73,21 @@ def adjacent(mesh: Mesh, entities: DataFrame, dim: int, *, explicit: DataFrame |
     return out.distinct()
 
 
+def add_explicit(explicit: DataFrame, new: DataFrame, both: bool = True) -> DataFrame:
+    """Explicit adjacencies (src_etype, src_id, etype, id) with more pairs, in both directions or one; repeated ones once."""
+    columns = ["src_etype", "src_id", "etype", "id"]
+    new = new.select(*columns)
+    if both:
+        new = new.unionByName(new.select(F.col("etype").alias("src_etype"), F.col("id").alias("src_id"), F.col("src_etype").alias("etype"), F.col("src_id").alias("id")))
+    return explicit.select(*columns).unionByName(new).distinct()
+
+
+def remove_explicit(explicit: DataFrame, gone: DataFrame) -> DataFrame:
+    """Explicit adjacencies without those of pairs (src_etype, src_id, etype, id), whichever way round."""
+    turned = gone.select(F.col("etype").alias("src_etype"), F.col("id").alias("src_id"), F.col("src_etype").alias("etype"), F.col("src_id").alias("id"))
+    return explicit.join(gone.select(turned.columns).unionByName(turned), ["src_etype", "src_id", "etype", "id"], "left_anti")
+
+
 def adjacencies(mesh: Mesh, entities: DataFrame, dim: int, mode: str = "INTERSECT", *, explicit: DataFrame | None = None) -> DataFrame:
     """(etype, id) of dimension dim adjacent to all (INTERSECT) or any (UNION) of the entities; none if there are none."""
     met = adjacent(mesh, entities, dim, explicit=explicit)

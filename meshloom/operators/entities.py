@@ -209,3 +209,32 @@ def compare_tags(a: Tag, b: Tag) -> DataFrame:
 def by_chunk(rows: DataFrame, size: int) -> DataFrame:
     """rows (etype, id) with chunk: numbers of runs of `size` entities in the order of (etype, id), for work in batches."""
     return numbered(rows, ID, "__n", 0).withColumn("chunk", F.floor(F.col("__n") / size)).drop("__n")
+
+
+def tag_create(mesh: Mesh, name: str, kind: str, default: object = None) -> Mesh:
+    """The mesh with an empty tag of a Spark type (long, double, string, array<double>, ...); an error if it has one of that name and another type."""
+    if name in mesh.tags:
+        if tag_type(mesh.tags[name]) != tag_type(Tag(mesh.vertex.sparkSession.createDataFrame([], f"etype int, id long, value {kind}"))):
+            raise MeshError(f"tag {name!r} has another type")
+        return mesh
+    empty = mesh.vertex.sparkSession.createDataFrame([], f"etype int, id long, value {kind}")
+    return replace(mesh, tags={**mesh.tags, name: Tag(empty, default)})
+
+
+def tag_type(tag: Tag) -> str:
+    return dict(tag.values.dtypes)["value"]
+
+
+# Bytes of a value of each fixed-size type.
+TYPE_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
+
+
+def tag_info(mesh: Mesh) -> DataFrame:
+    """(tag, type, bytes, default, n): each tag's type, its size (null if values differ in it), default as text, and how many values there are."""
+    spark = mesh.vertex.sparkSession
+    rows = [(name, tag_type(t), TYPE_BYTES.get(tag_type(t)), None if t.default is None else str(t.default)) for name, t in sorted(mesh.tags.items())]
+    info = spark.createDataFrame(rows, "tag string, type string, bytes int, default string")
+    if not rows:
+        return info.withColumn("n", F.lit(0).cast("long"))
+    sizes = [t.values.agg(F.count("*").alias("n")).select(F.lit(name).alias("tag"), "n") for name, t in mesh.tags.items()]
+    return info.join(reduce(DataFrame.unionByName, sizes), "tag")

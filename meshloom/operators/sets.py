@@ -226,3 +226,25 @@ def merge_coincident(vertex: DataFrame, tolerance: float) -> DataFrame:
     label = components(points.select(F.col("low").alias("n")), pairs).select(F.col("node").alias("a"), "label")
     named = vertex.select("id", *[(F.col(c) + 0.0).alias(c) for c in "xyz"]).join(points, list("xyz")).select("id", F.col("low").alias("a"))
     return named.join(label, "a").select("id", F.col("label").alias("keep"))
+
+
+def create_sets(options: DataFrame, n: int, *, ordered: bool = False, tracking: bool = False) -> DataFrame:
+    """Set options (set_id, ordered, tracking) with n more sets, numbered after the greatest id, 1 if there is none."""
+    spark = options.sparkSession
+    top = options.agg(F.coalesce(F.max("set_id"), F.lit(0)).alias("top"))  # one row
+    new = spark.range(1, n + 1).join(F.broadcast(top)).select((F.col("id") + F.col("top")).alias("set_id"), F.lit(ordered).alias("ordered"), F.lit(tracking).alias("tracking"))
+    return options.select("set_id", "ordered", "tracking").unionByName(new)
+
+
+def set_options(member: DataFrame, options: DataFrame) -> DataFrame:
+    """Members as their sets' options (set_id, ordered, tracking) want them: each entity once, in the order of types and ids, unless the set is ordered."""
+    met = member.join(options.select("set_id", "ordered"), "set_id")
+    keep = met.filter("ordered").select(*member.columns)
+    once = met.filter(~F.col("ordered")).groupBy("set_id", "etype", "id").agg(F.lit(0).cast("long").alias("pos"))
+    placed = numbered(once.drop("pos"), ["etype", "id"], "pos", 0, ["set_id"])
+    return keep.unionByName(placed.select(*member.columns))
+
+
+def clear(member: DataFrame, gone: DataFrame) -> DataFrame:
+    """Members without those of the sets gone (set_id); the sets themselves stay."""
+    return member.join(gone.select("set_id").distinct(), "set_id", "left_anti")

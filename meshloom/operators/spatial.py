@@ -97,15 +97,20 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, width: float) -> DataFrame:
     return rows.filter("hit and t >= 0 and t <= length").select("rid", "tid", "t", "entering")
 
 
-def inside_surface(points: DataFrame, triangles: DataFrame, width: float, length: float) -> DataFrame:
+def inside_surface(points: DataFrame, triangles: DataFrame, width: float, length: float, *, boundary: bool = True, tolerance: float = 1e-9) -> DataFrame:
     """(pid, inside): whether each point (pid, x, y, z) lies in the closed surface of outward triangles.
 
-    The first crossing of a ray tells: leaving means inside. Where crossings tie, as on an edge between a triangle
-    that is entered and one that is left, the ray has only touched the surface and counts as outside. The direction
+    Points no farther than the tolerance from the surface along the ray are `boundary`. For the others the first
+    crossing of a ray tells: leaving means inside. Where crossings tie, as on an edge between a triangle that is
+    entered and one that is left, the ray has only touched the surface and counts as outside. The direction
     is askew, so that rays seldom pass through edges; length must reach beyond the surface.
     """
     d = (0.8017837257372732, 0.5345224838248488, 0.2672612419124244)  # (3, 2, 1), unit length
-    rays = points.select(F.col("pid").alias("rid"), F.struct("x", "y", "z").alias("o"), F.struct(*[F.lit(v).alias(c) for v, c in zip(d, "xyz", strict=True)]).alias("d"), F.lit(length).alias("length"))
-    first = ray_hits(rays, triangles, width).groupBy("rid").agg(F.min(F.struct(F.round("t", 9).alias("t"), (~F.col("entering")).alias("leaving"))).alias("m"))
+    back = 1e-3 * width  # rays begin a little behind their points
+    origin = F.struct(*[(F.col(c) - back * v).alias(c) for v, c in zip(d, "xyz", strict=True)])
+    rays = points.select(F.col("pid").alias("rid"), origin.alias("o"), F.struct(*[F.lit(v).alias(c) for v, c in zip(d, "xyz", strict=True)]).alias("d"), F.lit(length + back).alias("length"))
+    hits = ray_hits(rays, triangles, width).withColumn("t", F.col("t") - back).filter(F.col("t") >= -tolerance)
+    ahead = F.when(F.col("t") > tolerance, F.struct(F.round("t", 9).alias("t"), (~F.col("entering")).alias("leaving")))
+    first = hits.groupBy("rid").agg(F.max(F.col("t") <= tolerance).alias("on"), F.min(ahead).alias("m"))
     met = points.select("pid").join(first.withColumnRenamed("rid", "pid"), "pid", "left")
-    return met.select("pid", F.coalesce(F.col("m.leaving"), F.lit(False)).alias("inside"))
+    return met.select("pid", F.when(F.col("on"), F.lit(boundary)).otherwise(F.coalesce(F.col("m.leaving"), F.lit(False))).alias("inside"))

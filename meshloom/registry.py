@@ -279,10 +279,10 @@ def global_ids(spark, sf_dir):
     return entities.assign_ids(table(spark, sf_dir, "orders").select(F.lit(4).alias("etype"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))).select("id", "priority", "gid")
 
 
-@query(f"WITH {_P} SELECT pid, x > 0 AND x < 12 AND y > 0 AND y < 12 AND z > 0 AND z < 12 AS inside FROM p WHERE x NOT IN (0, 12) AND y NOT IN (0, 12) AND z NOT IN (0, 12)")
+@query(f"WITH {_P} SELECT pid, x BETWEEN 0 AND 12 AND y BETWEEN 0 AND 12 AND z BETWEEN 0 AND 12 AS inside FROM p")
 def point_in_volume(spark, sf_dir):
     mesh = brick(spark, 12)
-    points = _points(spark, sf_dir).filter(~F.col("x").isin(0.0, 12.0) & ~F.col("y").isin(0.0, 12.0) & ~F.col("z").isin(0.0, 12.0))
+    points = _points(spark, sf_dir)
     quads = adjacency.skin(mesh.elem, 2).select(F.monotonically_increasing_id().alias("q"), F.explode(F.array(F.array(F.get("conn", F.lit(0)), F.get("conn", F.lit(1)), F.get("conn", F.lit(2))), F.array(F.get("conn", F.lit(0)), F.get("conn", F.lit(2)), F.get("conn", F.lit(3))))).alias("conn"))
     tri = quads.select(F.lit(ETYPES["TRI"]).alias("etype"), F.xxhash64("conn").alias("id"), "conn")
     corner = measure.with_points(Mesh(mesh.vertex, tri)).select(F.col("id").alias("tid"), *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate("abc")])
