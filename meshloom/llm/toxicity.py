@@ -1,23 +1,23 @@
 """Toxicity by the nearest labelled examples.
 
 Terms are words and the first 4 to 6 letters of longer words. The vocabulary is the terms whose presence
-depends on the label by a least log-likelihood ratio G2 over a least number of examples: of `SELECTIONS`, the
-last of which keeps every term, the pair whose leave-one-out votes on the examples err least. A text is its
-TF-IDF vector over them. Neighbours are found by exact cosine over a block-max inverted index: examples
-lie in blocks, each term keeps its largest weight in each block, and blocks are searched from the highest
-bound on until no other bound reaches the k-th best. Votes are weighted by cosine, and vote shares are mapped
-to observed rates by a monotone curve from leave-one-out votes of the examples.
-
-Labels are learned from at most `EXAMPLES` labelled documents (those with the smallest hash of their id), which
-bounds the broadcast index; the number of terms has no bound of its own. All documents are scored, over their
-whole texts.
+depends on the label by a least log-likelihood ratio G2 over a least number of examples. Which of `SELECTIONS`
+(the last of which keeps every term) is taken is decided on one example in HELD_OUT, which neither G2 nor
+the index has seen. A text is its TF-IDF vector over the terms. Neighbours are found by exact cosine over a
+block-max inverted index: examples lie in blocks, each term keeps its largest weight in each block, and blocks are
+searched from the highest bound on until no other bound reaches the k-th best. Votes are weighted by cosine, and
+vote shares are mapped to observed rates by a monotone curve from the votes on the held-out examples; then the
+vocabulary and the index are made of all examples.
+
+Labels are learned from at most `EXAMPLES` labelled documents with at most `EXAMPLE_BYTES` of text together (those with the
+smallest hash of their id), which bounds the broadcast index. All documents are scored, over their whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,11 +25,11 @@ from .common import added, materialize, text_chunks, without
 from .hashing import Rolling, mix
 from .langid import Words
 
-EXAMPLES = 20_000
+EXAMPLES, EXAMPLE_BYTES = 20_000, 64 << 20
 #: (least G2, least examples) of a term, each looser than the one before; the last is tried only if the one before it is best.
 SELECTIONS = ((15.0, 4), (10.0, 2), (7.0, 2), (5.0, 2), (4.0, 2), (3.0, 2), (0.0, 1))
-#: Examples whose votes compare the selections.
-JUDGED = 2000
+#: One example in so many judges the selections.
+HELD_OUT = 8
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -146,7 +146,7 @@ def _ranges(start: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.
 
 class Model:
     def __init__(self, vocabulary: Vocabulary, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray):
-        self.vocabulary, self.vectors, self.labels, self.ids = vocabulary, vectors, labels, ids
+        self.vocabulary, self.labels, self.ids = vocabulary, labels, ids
         self.index = BlockMaxIndex(vectors, len(vocabulary.terms))
         self.prior = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
         self.curve = np.linspace(0, 1, BINS + 1)
@@ -200,38 +200,44 @@ def _counts(examples: DataFrame) -> tuple[DataFrame, int]:
     return counts.select("term", "n", g2.alias("g2")), n
 
 
-def pick(docs: DataFrame, labels: DataFrame, *, max_examples: int = EXAMPLES) -> DataFrame:
-    """(doc_id, text, label) of at most max_examples labelled documents: those with the smallest hash of their id.
+def pick(docs: DataFrame, labels: DataFrame, *, max_examples: int = EXAMPLES, max_bytes: int = EXAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of labelled documents in the order of a hash of their id: at most max_examples, and no more text than max_bytes.
 
     Rows without label or id are left out; of repeated ids the larger label and text count.
     """
     known = labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("long").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_examples rows
-    return met.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    met = materialize(met.groupBy("doc_id", "label").agg(F.max("text").alias("text")), "toxicity-picked")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # a narrow row an example
+    small = met.select("doc_id", F.sum(F.octet_length("text")).over(order).alias("sum")).filter(F.col("sum") <= max_bytes)
+    return met.join(F.broadcast(small.select("doc_id")), "doc_id").select("doc_id", "text", "label")
 
 
 def fit(examples: DataFrame) -> Model:
     """A model from the rows (doc_id, text, label 0 or 1) that pick() gives."""
     examples = materialize(examples.select("doc_id", F.col("label").cast("long").alias("label"), F.col("text").cast("binary").alias("text")), "toxicity-examples")
-    counts, n = _counts(examples)
+    judge = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_OUT)) == 0
+    seen, unseen = examples.filter(~judge), examples.filter(judge)
+    counts, n = _counts(seen)
     counts = materialize(counts, "toxicity-terms")
-    best, least, model = None, np.inf, None
+    best, least, curve = SELECTIONS[0], np.inf, None
     for tried in (SELECTIONS[:-1], SELECTIONS[-1:]):
-        if best not in (None, SELECTIONS[-2]):
+        if curve is not None and best != SELECTIONS[-2]:
             break
-        found = _vectors(examples, counts, n, *tried[-1])
+        found = model = None  # one at a time in memory
+        found = _vectors(seen, counts, n, *tried[-1])
         for selection in tried:
-            model = None  # one at a time in memory
+            model = None
             model = _selected(found, n, *selection)
-            error = _calibrate(model, examples.sparkSession, -(-n // JUDGED)) if n else 0.0
+            error = _calibrate(model, unseen)
             if error < least:
-                best, least = selection, error
-    if best != selection:
-        model = None
-        model = _selected(found if best in tried else _vectors(examples, counts, n, *best), n, *best)
-    if n:
-        _calibrate(model, examples.sparkSession)
+                best, least, curve = selection, error, model.curve
+    found = model = None
+    counts, n = _counts(examples)
+    model = _selected(_vectors(examples, materialize(counts, "toxicity-terms"), n, *best), n, *best)
+    if curve is not None:
+        model.curve = curve
     return model
 
 
@@ -244,7 +250,10 @@ def _selected(found: tuple, n: int, floor: float, least: int) -> Model:
 
 
 def _vectors(examples: DataFrame, counts: DataFrame, n: int, floor: float, least: int) -> tuple:
-    """Terms in order with their examples and G2, and the examples' vectors over them, labels and ids by id."""
+    """Terms in order with their examples and G2, and the examples' vectors over them, labels and ids by id.
+
+    All of it comes to the driver: no more terms and weights than the examples have words, which their bytes bound.
+    """
     got = counts.filter((F.col("g2") >= floor) & (F.col("n") >= least)).toArrow()
     terms = got.column("term").to_numpy().view(np.uint64)
     order = np.argsort(terms)
@@ -274,21 +283,22 @@ def _part(vector: tuple[np.ndarray, np.ndarray], number: np.ndarray) -> tuple[np
     return t, x / np.sqrt((x**2).sum()) if len(x) else x
 
 
-def _calibrate(model: Model, spark: SparkSession, step: int = 1) -> float:
-    """Leave-one-out votes of every step-th example; their squared error."""
-    shared = spark.sparkContext.broadcast(model)
+def _calibrate(model: Model, unseen: DataFrame) -> float:
+    """The curve from votes on examples (doc_id, label, text) that the model hasn't seen; their squared error."""
+    shared = unseen.sparkSession.sparkContext.broadcast(model)
 
     def votes(batches):
         n, hits = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
-        m = shared.value
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                b = min(BINS - 1, int(m.vote(m.vectors[i], i)[0] * BINS))
-                n[b] += 1
-                hits[b] += int(m.labels[i])
+            labels = batch.column(0).to_pylist()
+            for lo, texts in text_chunks(batch.column(1)):
+                for i, vector in enumerate(shared.value.vocabulary.vectors(texts), lo):
+                    b = min(BINS - 1, int(shared.value.vote(vector)[0] * BINS))
+                    n[b] += 1
+                    hits[b] += int(labels[i])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(hits)], names=["bin", "n", "hits"])
 
-    got = spark.range(0, len(model.labels), step).mapInArrow(votes, "bin long, n long, hits long").groupBy("bin").agg(F.sum("n"), F.sum("hits")).collect()
+    got = unseen.select("label", "text").repartition(unseen.sparkSession.sparkContext.defaultParallelism).mapInArrow(votes, "bin long, n long, hits long").groupBy("bin").agg(F.sum("n"), F.sum("hits")).collect()
     n, hits = np.zeros(BINS), np.zeros(BINS)
     for b, x, y in got:
         n[b], hits[b] = x, y

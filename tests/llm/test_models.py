@@ -116,3 +116,28 @@ def test_best_condition_against_brute_force(spark):
     assert abs(p * (np.log2(p / (p + g)) - base) - top) < 1e-9
     hold = (x[:, quality.FEATURES.index(best.feature)] > best.cut) == best.above
     assert (y[hold].sum(), (1 - y)[hold].sum()) == (p, g)
+
+
+def test_toxicity_scores_are_votes_of_all_examples(spark):
+    """Every score against the cosines with all examples, one by one; the text bound leaves examples out in the order of the hash."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words[:150] if i % 3 else words[50:], 30))) for i in range(300)] + [(900, ""), (901, None), (902, "unknown things"), (903, "word1 " * 5000), (903, "word1 " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)] + [(5, None), (None, 1)], "doc_id long, label int")
+    picked = toxicity.pick(docs, labels)
+    assert picked.count() == 240 and 0 < toxicity.pick(docs, labels, max_bytes=10_000).count() < 60 and toxicity.pick(docs, labels, max_examples=7).count() == 7
+    model = toxicity.fit(picked)
+    text = dict(rows)
+    examples = model.vocabulary.vectors([text[int(i)].encode() for i in model.ids])
+    dense = np.zeros((len(examples), len(model.vocabulary.terms)))
+    for i, (t, x) in enumerate(examples):
+        dense[i, t] = x
+    for r in toxicity.score(docs.withColumn("Toxicity", docs.doc_id), model).collect():
+        t, x = model.vocabulary.vectors([(r.text or "").encode()])[0]
+        cosine = dense[:, t] @ x if len(t) else np.zeros(len(dense))
+        best = [i for i in np.lexsort((np.arange(len(cosine)), -cosine))[: toxicity.NEIGHBOURS] if cosine[i] > 0]
+        share = (float((cosine[best] * model.labels[best]).sum()) + model.prior) / (float(cosine[best].sum()) + 1)
+        assert abs(r.toxicity - model.calibrated(share)) < 1e-9
+    nothing = toxicity.fit(toxicity.pick(docs.limit(0), labels))
+    assert {r.toxicity for r in toxicity.score(docs, nothing).collect()} == {0.5}
