@@ -109,3 +109,14 @@ def test_adaptive_triangles_to_a_size(spark):
     assert measure.with_points(out).agg(F.sum(measure.measure(F.col("etype"), F.col("p")))).first()[0] == pytest.approx(12)
     with pytest.raises(MeshError):
         adapt.bisect(brick(spark, 2), spark.createDataFrame([([1, 2],)], "key array<long>"))
+
+
+def test_written_tables_are_deleted(spark):
+    from meshloom import storage
+
+    table = storage.written(spark.range(3), "gone")
+    path = storage._written[-1].removeprefix("file://")
+    assert table.count() == 3 and storage.delete_written(spark) >= 1 and storage.delete_written(spark) == 0
+    import os
+
+    assert not os.path.exists(path)
