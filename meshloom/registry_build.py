@@ -14,7 +14,7 @@ from .model import ETYPES, Mesh, elem_vertex
 from .operators import adapt, adjacency, dual, measure, obb, overlay, partition, reconstruct, refine, spectral, split
 from .plans.views import brick, brick_size, table
 from .registry import BRICK, query
-from .sources import cards, gmsh, lines
+from .sources import cards, gmsh, lines, smf
 from .storage import new_path, written
 
 # Lines across the plane whose distances come from a table: as many as the square root of its rows, each wider
@@ -477,3 +477,19 @@ def structured_owners(spark, sf_dir) -> DataFrame:
     i = F.col("id") - 1
     rows = brick(spark, n).elem.select("id", grid.owner([i % n, F.floor(i / n) % n, F.floor(i / (n * n))]).alias("part"))
     return rows.select("id", "part", grid.neighbour(F.col("part"), (-1, 0, 0)).alias("west"), grid.neighbour(F.col("part"), (0, 0, 1)).alias("top"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) AS id, round(3.0 * (c_nationkey + c_custkey % 7) + 2, 6) AS x, round(3.0 * (c_custkey % 5) + 3, 6) AS y, round(3.0 + (c_custkey % 3), 6) AS z FROM customer""")
+def scene_file(spark, sf_dir) -> DataFrame:
+    """A triangle for each customer in a scope of its own inside its nation's, written and read back: the sums of the faces' corners."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("section"), F.col("c_custkey").alias("at"))
+    k = F.col("at")
+    text = F.array(F.lit("begin"), F.concat(F.lit("trans "), (k % 7).cast("string"), F.lit(" "), (k % 5).cast("string"), F.lit(" 0")), F.lit("scale 2 3 1"), F.lit("v 0 0 0"), F.lit("v 1 0 0"), F.concat(F.lit("v 0 1 "), (k % 3).cast("string")), F.lit("f 1 2 3"), F.lit("end"))
+    inner = rows.select("section", "at", F.posexplode(text).alias("i", "text"))
+    nation = rows.select("section").distinct()
+    opened = F.array(F.lit("begin"), F.concat(F.lit("trans "), F.col("section").cast("string"), F.lit(" 0 1")))
+    before = nation.select("section", F.lit(-1).cast("long").alias("at"), F.posexplode(opened).alias("i", "text"))
+    after = nation.select("section", F.lit(1 << 40).alias("at"), F.lit(0).alias("i"), F.lit("end").alias("text"))
+    mesh = smf.read(spark, _lines_of(before.unionByName(inner).unionByName(after), "scene"))
+    met = elem_vertex(mesh.elem).join(mesh.vertex.withColumnRenamed("id", "vid"), "vid")
+    return met.groupBy("id").agg(*[F.round(F.sum(c), 6).alias(c) for c in "xyz"])

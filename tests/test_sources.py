@@ -122,3 +122,25 @@ def test_binary_stl(spark, tmp_path):
     (folder / "c.stl").write_bytes(data[:-1])
     with pytest.raises(Exception, match="no binary file"):
         stl.read_binary(spark, f"file://{folder}")
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_smf_scopes_and_transforms(spark, tmp_path, monkeypatch, chunk):
+    """Nested scopes cut over many chunks, against a walk line by line."""
+    import numpy as np
+
+    from meshloom.sources import smf
+
+    monkeypatch.setattr(smf, "CHUNK", chunk)
+    text = ["#$SMF 1.0", "v 1 2 3", "begin", "trans 1 0 0", "v 0 0 0", "begin", "rot z 90", "scale 2 2 2", "v 1 0 0", "v 0 1 0", "f 1 2 -1", "end", "v 1 1 1", "f 1 2 3", "trans 0 0 5", "begin", "mload 1 0 0 9 0 1 0 8 0 0 1 7 0 0 0 1", "v 0 0 0", "end", "v 0 0 0", "end", "v 4 5 6", "begin", "mmult 0 1 0 0 1 0 0 0 0 0 1 0 0 0 0 1 # swap", "set vertex_correction -1", "v 7 8 9", "v 7 8 9", "f 2 3 -2", "end"]
+    mesh = smf.read(spark, write(tmp_path, "\n".join(text)))
+    at = {r.id: (round(r.x, 9) + 0.0, round(r.y, 9) + 0.0, round(r.z, 9) + 0.0) for r in mesh.vertex.collect()}
+    assert at == {1: (1, 2, 3), 2: (1, 0, 0), 3: (1, 2, 0), 4: (-1, 0, 0), 5: (2, 1, 1), 6: (9, 8, 7), 7: (1, 0, 5), 8: (4, 5, 6), 9: (8, 7, 9), 10: (8, 7, 9)}
+    assert [c for _, _, c in elements(mesh)] == [[3, 4, 4], [2, 3, 4], [9, 10, 9]]
+    assert np.allclose(smf.matrix(["rot", "x", "90"])[:3, :3] @ [0, 1, 0], [0, 0, 1])
+    for bad in ("end", "f 1 2", "frob 1", "begin\nend\nend", "trans 1 x 0\nv 1 1 1"):
+        with pytest.raises(Exception, match="."):
+            smf.read(spark, write(tmp_path, bad, "bad")).vertex.count()
+    smf.write(mesh, f"file://{tmp_path}/out{chunk}")
+    back = smf.read(spark, f"file://{tmp_path}/out{chunk}")
+    assert back.vertex.exceptAll(mesh.vertex).count() == 0
