@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 from html.parser import HTMLParser
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ FOREIGN = frozenset("svg math".split())
 AGAINST = "ad ads advert advertisement banner breadcrumb comment comments cookie consent copyright discussion footer form header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert".split()
 #: Parts of such words that speak against content, too: topmenu, pagefooter.
 AGAINST_PARTS = re.compile("menu|footer|sidebar|banner|advert|cookie|newsletter|popup|navbar|navigation")
+#: Those beside which a word for content means the content of such a part: comment-body, ad-content.
+STRONG = "ad ads advert advertisement comment comments cookie consent discussion newsletter promo reply respond sponsored".split()
 FOR = "article articlebody body content entry main post story text prose".split()
 GROUPS = {"nav": "nav menu", "aside": "aside dialog", "foot": "footer address", "head": "header hgroup", "form": "form fieldset legend", "article": "article main", "heading": "h1 h2 h3 h4 h5 h6", "p": "p blockquote pre figcaption dd dt", "list": "ul ol dl dir", "item": "li", "table": "table tbody thead tfoot tr td th caption", "box": "div section center details summary figure search", "root": "html body"}
 GROUP_OF = {t: g for g, tags in GROUPS.items() for t in tags.split()}
@@ -170,7 +173,8 @@ def features(tree: Tree) -> np.ndarray:
         if group == "form" and most > 0.5:  # a form around the page
             group, whole = "box", True
         names = {w.lower() for k in ("class", "id", "role", "aria-label", "itemprop") for w in _NAME.findall(n.attrs.get(k) or "")} if n.attrs and not whole else set()
-        speaks, favours = not names.isdisjoint(AGAINST) or any(map(AGAINST_PARTS.search, names)), not names.isdisjoint(FOR)
+        strong = not names.isdisjoint(STRONG)
+        speaks, favours = not names.isdisjoint(AGAINST) or any(map(AGAINST_PARTS.search, names)), not strong and not names.isdisjoint(FOR)
         bad = group in ("nav", "aside", "foot", "form", "head") or (speaks and not favours)
         share = n.links / n.text if n.text else 0.0
         against[i] = bad or (i > 0 and against[n.parent])
@@ -302,12 +306,15 @@ def training_pages() -> tuple[str, ...]:
     tops = ["<nav><ul>{links}</ul></nav>", "<ul>{links}</ul>", '<div class="top"><ul>{links}</ul></div>', '<header class="site-header"><a href="/">Home</a><p>{short}</p></header>', '<div id="menu"><ul>{links}</ul></div>', '<div class="navbar"><a href="/a">News</a> <a href="/b">Sport</a></div>', '<div class="cookie-notice"><p>{any}</p><button>OK</button></div>', '<div class="ad">{any}</div>', '<div class="advert"><p>{any}</p></div>', '<header><h1><a href="/">{short}</a></h1><nav>{short}</nav></header>', '<div class="breadcrumb"><a href="/">Home</a> &gt; <a href="/x">Here</a></div>', '<form action="/s"><label>Search</label><input name="q"><p>{short}</p></form>']
     tails = ["<footer>&copy; 2020 &middot; {any}</footer>", "<aside><h3>{short}</h3><p>{any}</p><ul>{links}</ul></aside>", '<div class="sidebar"><h2>{short}</h2><p>{any}</p></div>', '<section id="comments"><h2>Comments</h2><div class="comment"><p>{long}</p></div><div class="comment"><p>{any}</p></div></section>', '<div class="related"><h3>More</h3><ul>{links}</ul></div>', '<div class="footer"><p>{any}</p></div>', '<form class="signup"><p>{any}</p><input type="email"></form>', '<div class="share"><a href="/f">Share</a> <a href="/t">Post</a></div>', '<div class="promo-box"><p>{any}</p></div>', '<ol class="comment-list"><li><p>{long}</p></li><li><p>{any}</p></li></ol>', '<div class="comments"><h3>{short}</h3><div class="comment"><p>{long}</p></div><div class="comment"><p>{long}</p></div><div class="comment"><p>{long}</p></div></div>']
     wraps = ["<!--content--><article>{body}</article><!--/content-->", '<!--content--><main><div class="post-content">{body}</div></main><!--/content-->', '<!--content--><div class="content">{body}</div><!--/content-->', '<div class="wrapper"><!--content--><div id="story">{body}</div><!--/content--></div>', "<!--content-->{body}<!--/content-->", "<div><div><!--content--><article><section>{body}</section></article><!--/content--></div></div>", '<form id="pageForm" action="/"><input type="hidden" name="s"><div id="main"><!--content-->{body}<!--/content--></div></form>', '<section class="widget-content"><!--content-->{body}<!--/content--></section>', '<!--content--><section class="content-widget">{body}</section><!--/content-->', '<div id="page-header-wrap"><div class="col"><!--content-->{body}<!--/content--></div></div>', '<table><tr><td><!--content-->{body}<!--/content--></td></tr></table>', '<main><!--content--><article class="entry">{body}</article><!--/content--></main>']
-    inner = ["", "<!--/content--><aside><p>{mid}</p></aside><!--content-->", '<!--/content--><div class="ad-slot"><p>{short}</p></div><!--content-->', '<!--/content--><div class="newsletter-signup"><form><p>{mid}</p></form></div><!--content-->', '<!--/content--><nav><a href="#a">Part</a></nav><!--content-->']
-    bodies = ["<h1>{short}</h1><p>{long}</p><p>{mid} <a href='/r'>{short}</a> {mid}</p>{in}<p>{long}</p>", "<h1>{short}</h1><p><b>{short}<br><p>{long}</p>{in}<h2>{short}</h2><ul><li>{mid}</li><li>{short}</li></ul><p>{mid}</p>", "<header><h1>{short}</h1></header><p>{long}</p>{in}<blockquote><p>{mid}</p></blockquote><table><tr><td>{short}</td><td>{short}</td></tr></table>", "<p>{short}</p>{in}<p>{long}</p><pre>{mid}</pre><ol><li>{mid}</li></ol>", "<h1>{short}</h1><div>{long}</div>{in}<div>{mid}</div>", "<h1>{short}</h1><p>{short}</p>", "<h2>{short}</h2>{long}<br><br>{mid}{in}", "<h1>{short}</h1><p>{mid}</p>{in}<dl><dt>{short}</dt><dd>{mid}</dd></dl><p>{long} {long} {long}</p>"]
+    inner = ["", "<!--/content--><aside><p>{mid}</p></aside><!--content-->", '<!--/content--><div class="ad-slot"><p>{short}</p></div><!--content-->', '<!--/content--><div class="newsletter-signup"><form><p>{mid}</p></form></div><!--content-->', '<!--/content--><nav><a href="#a">Part</a></nav><!--content-->', '<!--/content--><div class="comment-body"><p>{mid}</p></div><!--content-->', '<!--/content--><div class="ad-content"><p>{mid}</p></div><!--content-->']
+    bodies = ["<h1>{short}</h1><p>{long}</p><p>{mid} <a href='/r'>{short}</a> {mid}</p>{in}<p>{long}</p>", "<h1>{short}</h1><p><b>{short}<br><p>{long}</p>{in}<h2>{short}</h2><ul><li>{mid}</li><li>{short}</li></ul><p>{mid}</p>", "<header><h1>{short}</h1></header><p>{long}</p>{in}<blockquote><p>{mid}</p></blockquote><table><tr><td>{short}</td><td>{short}</td></tr></table>", "<p>{short}</p>{in}<p>{long}</p><pre>{mid}</pre><ol><li>{mid}</li></ol>", "<h1>{short}</h1><div>{long}</div>{in}<div>{mid}</div>", "<h1>{short}</h1><p>{short}</p>", "<h2>{short}</h2>{long}<br><br>{mid}{in}", "<h1>{short}</h1><p>{long}</p>{in}<p>{mid}</p><p><a href='/r'>{mid}</a></p>", "<h1>{short}</h1><p>{mid}</p>{in}<ul><li><a href='/r'>{mid}</a></li><li><a href='/s'>{short}</a></li></ul><p>{mid}</p>", "<p><a href='/q'>{short}</a></p><p>{long}</p>{in}<p>{mid}</p>", "<h1>{short}</h1><p>{mid}</p>{in}<dl><dt>{short}</dt><dd>{mid}</dd></dl><p>{long} {long} {long}</p>"]
     starts = ["<body>", '<body class="menu-open">', '<body class="has-sidebar header-fixed" id="top">', "<body>"]
-    pages = [f"<!--content-->{sentence(k, 30 + 20 * k)}<!--/content-->" for k in range(3)]  # no tags at all
+    pages = [f"<!--content-->{sentence(k, 12 + 9 * k)}<!--/content-->" for k in range(16)]  # no tags at all
     pages += [f"<!--content--><p>{sentence(k, 20)}<p>{sentence(k + 1, 9 * k + 5)}<!--/content-->" for k in range(3)]
-    for k in range(144):
+    # short pages, and lists of links that belong to the text
+    pages += [f"<html><body>{tops[k % 4].replace('{links}', links(k, 3)).replace('{short}', sentence(k, 2))}<!--content--><{tag}>{sentence(k, 3)}</{tag}><!--/content-->{end}</body></html>" for k, (tag, end) in enumerate(product(("div", "p"), ("", "<footer>c</footer>", "<script>x()</script>")))]
+    pages += [f"<html><body>{tops[k % 4].replace('{links}', links(k, 5)).replace('{short}', sentence(k, 3))}<!--content--><{tag}><h1>{sentence(k, 3)}</h1><p>{sentence(k + 1, 18)}</p><ul>{links(k, 2 + k % 3)}</ul><p>{sentence(k + 2, 15)}</p></{tag}><!--/content--><footer>{sentence(k, 4)}</footer></body></html>" for k, tag in enumerate(("main", "article") * 4)]
+    for k in range(216):
         top, tail, wrap, body = tops[k % len(tops)], tails[(k * 3 + k // 10) % len(tails)], wraps[k % len(wraps)], bodies[(k + k // 6) % len(bodies)]
         parts = (tops[(k * 7 + 3) % len(tops)] if k % 3 else "", top, wrap.replace("{body}", body.replace("{in}", inner[(k // 2) % len(inner)])), tail, tails[(k * 5 + 1) % len(tails)] if k % 2 else "")
         page = "<html><head><title>{short}</title><style>p{}</style></head>" + starts[(k // 5) % len(starts)] + "".join(parts) + "<script>var t='<p>x</p>';</script></body></html>"

@@ -30,6 +30,10 @@ PAGES = {
     "notice and sidebar": (f"<div class='cookie-banner'><p>We use cookies to make this page better for you and our partners.</p><button>Fine</button></div><div class='layout'><div class='story'>{MARKUP}</div><div class='sidebar'><h4>Most read</h4>{NAV}</div></div>", BODY),
     "blog": (f"<header class='site'><p class='tagline'>Notes from the quay</p><nav>{NAV}</nav></header><div class='entry'><h2>{TITLE}</h2><div class='entry-body'><p>{A}</p><blockquote>{B}</blockquote><ul><li>{C}</li></ul></div></div><footer>Powered by ink</footer>", BODY),
     "search form": (f"<form action='/s'><label>Find</label><input name='q'></form><div id='content'>{MARKUP}</div><form class='newsletter'><p>Get our letter every Friday.</p><input type='email'></form>", BODY),
+    "last paragraph a link": (f"<body><nav>{NAV}</nav><article>{MARKUP}<p><a href='/x'>Read the full timetable of the ferry.</a></p></article><footer>c 2020</footer></body>", [*BODY, "Read the full timetable of the ferry."]),
+    "links in the text": (f"<body><nav>{NAV}</nav><main><h1>{TITLE}</h1><p>{A}</p><ul><li><a href='/a'>The timetable of the summer</a></li><li><a href='/b'>The prices for cars and bicycles</a></li></ul><p>{B}</p></main><footer>c 2020</footer></body>", [TITLE, A, "The timetable of the summer", "The prices for cars and bicycles", B]),
+    "comment body": (f"<body><nav>{NAV}</nav><div id='content'>{MARKUP}<div class='comment-body'><p>I like the ferry and my children do, too.</p></div></div></body>", BODY),
+    "advert content": (f"<body><div class='post'><p>{A}</p><div class='ad-content'><p>Buy two, get one free until Sunday.</p></div><p>{B}</p></div></body>", [A, B]),
     "short article": (f"<nav>{NAV}</nav><article><h1>{TITLE}</h1><p>Soon.</p></article><footer>Harbour News, Pier 3, open from nine to five on working days.</footer>", [TITLE, "Soon."]),
 }
 
