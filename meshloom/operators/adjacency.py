@@ -177,14 +177,26 @@ def sharp_edges(mesh: Mesh, angle: float) -> DataFrame:
 def side_entities(elem: DataFrame, dim: int) -> DataFrame:
     """(key, etype, conn, n_up): every edge or face once, with the connectivity of its first use and how often it is used."""
     rows = explode_sides(elem, dim)
+    if dim == 1:  # two numbers are the key, and which way an edge runs is one more
+        at = F.struct("etype", "id", "side", (F.get("conn", F.lit(0)) == F.get("key", F.lit(0))).alias("up"))
+        ends = rows.select(F.get("key", F.lit(0)).alias("a"), F.get("key", F.lit(1)).alias("b"), at.alias("at")).groupBy("a", "b").agg(F.min("at").alias("at"), F.count("*").alias("n_up"))
+        conn = F.when(F.col("at.up"), F.array("a", "b")).otherwise(F.array("b", "a"))
+        return ends.select(F.array("a", "b").alias("key"), conn.alias("conn"), "n_up", F.lit(ETYPES["EDGE"]).alias("etype"))
     first = F.min_by("conn", F.struct("etype", "id", "side"))
     return rows.groupBy("key").agg(first.alias("conn"), F.count("*").alias("n_up")).withColumn("etype", side_etype(F.col("conn")))
 
 
 def skin(elem: DataFrame, dim: int) -> DataFrame:
     """(etype, id, side, conn, key): sides of dimension dim that just one element has."""
-    once = explode_sides(elem, dim).groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct("etype", "id", "side", "conn")).alias("of"))
-    return once.filter("n = 1").select("of.etype", "of.id", "of.side", "of.conn", "key")
+    rows = explode_sides(elem, dim)
+    # of a group of one row every least value is that row's; numbers are summed up by hash, without a sort
+    least = [F.min(c).alias(c) for c in ("etype", "id", "side")]
+    if dim == 1:
+        ends = rows.select("etype", "id", "side", F.get("key", F.lit(0)).alias("a"), F.get("key", F.lit(1)).alias("b"), (F.get("conn", F.lit(0)) == F.get("key", F.lit(0))).cast("int").alias("up"))
+        once = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("up").alias("up"), *least).filter("n = 1")
+        return once.select("etype", "id", "side", F.when(F.col("up") == 1, F.array("a", "b")).otherwise(F.array("b", "a")).alias("conn"), F.array("a", "b").alias("key"))
+    once = rows.groupBy("key").agg(F.count("*").alias("n"), F.first("conn").alias("conn"), *least)
+    return once.filter("n = 1").select("etype", "id", "side", "conn", "key")
 
 
 def skin_vertices(elem: DataFrame, dim: int) -> DataFrame:
