@@ -33,6 +33,8 @@ HELD_OUT = 8
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks of highest bound that are searched before the others are ruled out; numbers in a working array.
+FIRST, AT_ONCE = 4, 1 << 21
 BINS = 20
 EVIDENCE = 3
 
@@ -79,62 +81,136 @@ class Vocabulary:
 
 
 class BlockMaxIndex:
-    """Unit vectors by term and block of BLOCK vectors, with the largest weight of each term in each block.
+    """Unit vectors by block of BLOCK vectors and term, with the largest weight of each term in each block.
 
     Vectors with the same heaviest terms lie side by side, which keeps the bounds of other blocks low.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        self.n, self.blocks, self.n_terms = len(vectors), max(1, -(-len(vectors) // BLOCK)), max(1, n_terms)
         heavy = np.array([int(t[x.argmax()]) if len(t) else n_terms for t, x in vectors], np.int64)
         self.row = np.argsort(heavy, kind="stable")  # the vector at each place
         size = [len(vectors[r][0]) for r in self.row]
         term = np.concatenate([vectors[r][0] for r in self.row] + [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[r][1] for r in self.row] + [np.zeros(0)])
         place = np.repeat(np.arange(self.n), size)
-        order = np.lexsort((place, term))
+        order = np.lexsort((place, term, place // BLOCK))
         self.slot, self.weight = (place[order] % BLOCK).astype(np.uint8), weight[order]
         # a cell is a term in a block that holds it
-        cell, start = np.unique(term[order].astype(np.int64) * self.blocks + place[order] // BLOCK, return_index=True)
+        cell, start = np.unique(place[order] // BLOCK * self.n_terms + term[order], return_index=True)
         self.at = np.append(start, len(term)).astype(np.int32)
-        self.block = (cell % self.blocks).astype(np.int32)
-        self.cells = np.searchsorted(cell, np.arange(n_terms + 1) * self.blocks).astype(np.int32)
+        self.term = (cell % self.n_terms).astype(np.int32)
+        self.cells = np.searchsorted(cell, np.arange(self.blocks + 1) * self.n_terms).astype(np.int32)
         top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
         self.top = np.nextafter(top.astype(np.float32), np.float32(2))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k vectors of highest cosine above 0, best first, ties by number; `leave` isn't one of them."""
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not self.n:
-            return rows, scores
-        cell, weight = _ranges(self.cells[terms], self.cells[terms + 1], weights)
-        bound = np.bincount(self.block[cell], self.top[cell] * weight, self.blocks) * (1 + 1e-5)
-        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
-        rank = np.zeros(self.blocks, np.int64)
-        rank[order] = np.arange(len(order))
-        rank = rank[self.block[cell]]
-        done, step = 0, 4
-        while done < len(order):
-            b = order[done : done + step]
-            if len(rows) == k:
-                b = b[bound[b] >= scores[-1]]
-                if not len(b):
-                    break
-            met = np.flatnonzero((rank >= done) & (rank < done + len(b)))
-            first = (rank[met] - done) * BLOCK
-            posting, at = _ranges(self.at[cell[met]], self.at[cell[met] + 1], np.arange(len(met)))
-            score = np.bincount(first[at] + self.slot[posting], self.weight[posting] * weight[met][at], len(b) * BLOCK)
-            hit = np.flatnonzero(score >= scores[-1] if len(rows) == k else score)
-            found = self.row[b[hit // BLOCK] * BLOCK + hit % BLOCK]
-            hit, found = hit[found != leave], found[found != leave]
-            if len(hit) > k:  # only the k best and their ties need sorting
-                best = score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]
-                hit, found = hit[best], found[best]
-            rows, scores = np.concatenate((rows, found)), np.concatenate((scores, score[hit]))
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-            done, step = done + step, 2 * step
-        return rows, scores
+        return self.search([(terms, weights)], k, leave)[0]
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What nearest gives for each vector. A block is compared at once with all vectors that its bound doesn't rule out.
+
+        Products of 32 bits choose; they are off by no more than `slack` of themselves. Cosines of what they choose are
+        summed in 64 bits, term by term, so that equal vectors get equal ones.
+        """
+        n, size = len(vectors), np.array([len(t) for t, _ in vectors], np.int64)
+        terms = np.concatenate([t for t, _ in vectors] + [np.zeros(0, np.int64)])
+        used = np.unique(terms)
+        if n > 1 and n * len(used) > AT_ONCE:
+            return self.search(vectors[: n // 2], k, leave) + self.search(vectors[n // 2 :], k, leave)
+        number = np.full(self.n_terms, -1, np.int32)
+        number[used] = np.arange(len(used))
+        exact = np.zeros((len(used), n))
+        exact[number[terms], np.repeat(np.arange(n), size)] = np.concatenate([x for _, x in vectors] + [np.zeros(0)])
+        rough, slack = exact.astype(np.float32), (size + 8) * 2.0**-22
+        cells, bound = [], np.zeros((self.blocks, n), np.float32)
+        for b in range(self.blocks):
+            c = np.arange(self.cells[b], self.cells[b + 1])
+            cells.append(c[number[self.term[c]] >= 0])
+            bound[b] = self.top[cells[b]] @ rough[number[self.term[cells[b]]]]
+        best = _Best(self, cells, number, exact, slack, k, leave)
+        # of each vector first the blocks of highest bound, then all that can still hold one of its k best
+        m = min(FIRST, self.blocks)
+        high = np.partition(bound, self.blocks - m, axis=0)[self.blocks - m]
+        for first in (True, False):
+            todo = (bound > 0) & ((bound >= high) == first)
+            for b in np.flatnonzero(todo.any(axis=1)).tolist():
+                live = np.flatnonzero(todo[b] & (bound[b] >= best.floor))
+                if not len(live):
+                    continue
+                block = self._block(cells[b], np.float32)
+                score = block @ np.take(rough[number[self.term[cells[b]]]], live, axis=1)
+                floor = best.floor[live]
+                if first and k < BLOCK:
+                    floor = np.maximum(floor, np.partition(score, BLOCK - k - 1, axis=0)[BLOCK - k - 1] * (1 - 3 * slack[live]).astype(np.float32))
+                hit = np.flatnonzero(score >= floor)
+                best.add(live[hit % len(live)], b * BLOCK + hit // len(live), score.ravel()[hit])
+            best.settle()
+        cut = np.searchsorted(best.of, np.arange(n + 1))
+        return [(best.row[a:b], best.score[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _block(self, cells: np.ndarray, kind: type) -> np.ndarray:
+        """The weights of a block's vectors at these of its cells."""
+        out = np.zeros((BLOCK, len(cells)), kind)
+        posting, at = _ranges(self.at[cells], self.at[cells + 1], np.arange(len(cells)))
+        out[self.slot[posting], at] = self.weight[posting]
+        return out
+
+
+class _Best:
+    """The k vectors of highest cosine of each of many, ties by number, and the rough score that others must reach."""
+
+    def __init__(self, index: BlockMaxIndex, cells: list[np.ndarray], number: np.ndarray, exact: np.ndarray, slack: np.ndarray, k: int, leave: int):
+        self.index, self.cells, self.number, self.exact, self.slack, self.k, self.leave = index, cells, number, exact, slack, k, leave
+        self.floor = np.full(exact.shape[1], np.finfo(np.float32).tiny)
+        self.of, self.row, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new, self.waiting = [], 0
+
+    def add(self, of: np.ndarray, place: np.ndarray, rough: np.ndarray) -> None:
+        self.new.append((of, place, rough))
+        self.waiting += len(of)
+        if self.waiting > AT_ONCE // 32:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        of, place, rough = (np.concatenate(c) for c in zip(*self.new, strict=True))
+        self.new, self.waiting = [], 0
+        other = self.index.row[place] != self.leave
+        of, place, rough = of[other], place[other], rough[other]
+        # the k-th of the new rough scores bounds what may be among the k best
+        order = np.lexsort((-rough, of))
+        of, place, rough = of[order], place[order], rough[order]
+        first = np.searchsorted(of, np.arange(len(self.floor) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        self.floor[full] = np.maximum(self.floor[full], rough[first[full] + self.k - 1] * (1 - 3 * self.slack[full]))
+        keep = rough >= self.floor[of]
+        of, place = of[keep], place[keep]
+        of, row, score = np.concatenate((self.of, of)), np.concatenate((self.row, self.index.row[place])), np.concatenate((self.score, self._cosines(of, place)))
+        order = np.lexsort((row, -score, of))
+        order = order[np.arange(len(of)) - np.searchsorted(of[order], of[order]) < self.k]
+        self.of, self.row, self.score = of[order], row[order], score[order]
+        first = np.searchsorted(self.of, np.arange(len(self.floor) + 1))
+        full = np.flatnonzero(np.diff(first) == self.k)
+        self.floor[full] = np.maximum(self.floor[full], self.score[first[full] + self.k - 1] * (1 - 2 * self.slack[full]))
+
+    def _cosines(self, of: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The cosines of vectors with vectors at these places."""
+        out = np.zeros(len(of))
+        if not len(of):
+            return out
+        order = np.argsort(place // BLOCK, kind="stable")
+        blocks, start = np.unique(place[order] // BLOCK, return_index=True)
+        for b, i in zip(blocks.tolist(), np.split(order, start[1:]), strict=True):
+            c = self.cells[b]
+            block, local = self.index._block(c, float), self.number[self.index.term[c]]
+            step = max(1, AT_ONCE // 2 // max(1, len(c)))
+            for lo in range(0, len(i), step):
+                j = i[lo : lo + step]
+                out[j] = np.cumsum(block[place[j] % BLOCK] * self.exact[local[None, :], of[j][:, None]], axis=1)[:, -1]
+        return out
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,9 +228,15 @@ class Model:
         self.curve = np.linspace(0, 1, BINS + 1)
 
     def vote(self, vector: tuple[np.ndarray, np.ndarray], leave: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        rows, cosine = self.index.nearest(*vector, NEIGHBOURS, leave)
-        share = (float((cosine * self.labels[rows]).sum()) + self.prior) / (float(cosine.sum()) + 1)
-        return share, list(zip(rows[:EVIDENCE].tolist(), cosine[:EVIDENCE].tolist(), strict=True))
+        return self.votes([vector], leave)[0]
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], leave: int = -1) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Of each vector the share of toxic ones among its neighbours, and the nearest of these with their cosines."""
+        out = []
+        for rows, cosine in self.index.search(vectors, NEIGHBOURS, leave):
+            share = (float((cosine * self.labels[rows]).sum()) + self.prior) / (float(cosine.sum()) + 1)
+            out.append((share, list(zip(rows[:EVIDENCE].tolist(), cosine[:EVIDENCE].tolist(), strict=True))))
+        return out
 
     def calibrated(self, share: float) -> float:
         return float(np.interp(share, np.linspace(0, 1, BINS + 1), self.curve))
@@ -292,8 +374,8 @@ def _calibrate(model: Model, unseen: DataFrame) -> float:
         for batch in batches:
             labels = batch.column(0).to_pylist()
             for lo, texts in text_chunks(batch.column(1)):
-                for i, vector in enumerate(shared.value.vocabulary.vectors(texts), lo):
-                    b = min(BINS - 1, int(shared.value.vote(vector)[0] * BINS))
+                for i, (share, _) in enumerate(shared.value.votes(shared.value.vocabulary.vectors(texts)), lo):
+                    b = min(BINS - 1, int(share * BINS))
                     n[b] += 1
                     hits[b] += int(labels[i])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n), pa.array(hits)], names=["bin", "n", "hits"])
@@ -326,11 +408,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep_text: bool
         m = shared.value
         for batch in batches:
             scores, evidence = [], []
-            for _, texts in text_chunks(batch.column(at)):
-                for vector in m.vocabulary.vectors(texts):
-                    share, near = m.vote(vector)
-                    scores.append(m.calibrated(share))
-                    evidence.append([{"doc_id": str(m.ids[r]), "cosine": c, "label": int(m.labels[r])} for r, c in near])
+            vectors = [v for _, texts in text_chunks(batch.column(at)) for v in m.vocabulary.vectors(texts)]
+            for share, near in m.votes(vectors):
+                scores.append(m.calibrated(share))
+                evidence.append([{"doc_id": str(m.ids[r]), "cosine": c, "label": int(m.labels[r])} for r, c in near])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*(batch.schema.names[i] for i in keep), "toxicity", "toxicity_evidence"])
 
     fields = [T.StructField("toxicity", T.DoubleType()), T.StructField("toxicity_evidence", _EVIDENCE)]

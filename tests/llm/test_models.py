@@ -41,6 +41,30 @@ def brute_statistics(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
 
 
+def test_many_searches_at_once_are_exact(monkeypatch):
+    """Batches of vectors, whole or split, give what all cosines give; copies tie by number; a block is read once or twice for all of them."""
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(150):
+        t = np.sort(rng.choice(60, rng.integers(0, 9), replace=False))
+        x = rng.integers(1, 4, len(t)).astype(float)
+        vectors += [(t, x / np.sqrt((x**2).sum()) if len(t) else x)] * rng.integers(1, 5)
+    vectors = [vectors[i] for i in rng.permutation(len(vectors))]
+    index, dense, calls, ranges = toxicity.BlockMaxIndex(vectors, 60), np.zeros((len(vectors), 60)), [], toxicity._ranges
+    for i, (t, x) in enumerate(vectors):
+        dense[i, t] = x
+    monkeypatch.setattr(toxicity, "_ranges", lambda *a: calls.append(1) or ranges(*a))
+    for k, at_once in ((15, 1 << 21), (15, 700), (100, 1 << 21)):
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+        calls.clear()
+        found = index.search(vectors, k)
+        assert len(found) == len(vectors) and (at_once == 700 or len(calls) < 6 * index.blocks)
+        for v, (rows, scores) in zip(dense, found, strict=True):
+            cosine = np.cumsum(dense * v, axis=1)[:, -1]
+            want = [i for i in np.lexsort((np.arange(len(cosine)), -cosine))[:k] if cosine[i] > 0]
+            assert rows.tolist() == want and scores.tolist() == cosine[want].tolist()
+
+
 def test_quality_statistics(spark):
     run = " ".join(f"w{i}" for i in range(9))
     texts = [None, "", " \n\t", "a b c", f"{run} x {run}", "so " * 40, f"{run}\n{run}\n\n \n{run} # é𝄞 <b>", "one\ntwo\none\n" * 3]
