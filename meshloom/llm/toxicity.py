@@ -206,7 +206,7 @@ class _Best:
         for b, i in zip(blocks.tolist(), np.split(order, start[1:]), strict=True):
             c = self.cells[b]
             block, local = self.index._block(c, float), self.number[self.index.term[c]]
-            step = max(1, AT_ONCE // 2 // max(1, len(c)))
+            step = max(1, AT_ONCE // 16 // max(1, len(c)))
             for lo in range(0, len(i), step):
                 j = i[lo : lo + step]
                 out[j] = np.cumsum(block[place[j] % BLOCK] * self.exact[local[None, :], of[j][:, None]], axis=1)[:, -1]
@@ -264,7 +264,7 @@ def _counts(examples: DataFrame) -> tuple[DataFrame, int]:
     def run(batches):
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, texts in text_chunks(batch.column(2), 8 << 20):
+            for lo, texts in text_chunks(batch.column(2)):
                 doc, term = doc_terms(texts)
                 order = np.lexsort((doc, term))
                 doc, term = doc[order], term[order]
