@@ -94,10 +94,11 @@ class BlockMaxIndex:
         term = np.concatenate([vectors[r][0] for r in self.row] + [np.zeros(0, np.int64)])
         weight = np.concatenate([vectors[r][1] for r in self.row] + [np.zeros(0)])
         place = np.repeat(np.arange(self.n), size)
-        order = np.lexsort((place, term, place // BLOCK))
-        self.slot, self.weight = (place[order] % BLOCK).astype(np.uint8), weight[order]
-        # a cell is a term in a block that holds it
-        cell, start = np.unique(place[order] // BLOCK * self.n_terms + term[order], return_index=True)
+        cell = place // BLOCK * self.n_terms + term  # a cell is a term in a block that holds it
+        order = np.argsort(cell, kind="stable")
+        self.slot, self.weight, cell = (place % BLOCK).astype(np.uint8)[order], weight[order], cell[order]
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[: len(cell)])
+        cell = cell[start]
         self.at = np.append(start, len(term)).astype(np.int32)
         self.term = (cell % self.n_terms).astype(np.int32)
         self.cells = np.searchsorted(cell, np.arange(self.blocks + 1) * self.n_terms).astype(np.int32)
