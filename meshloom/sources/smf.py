@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +75,13 @@ def applied(stack: list[Level], words: list[str], next_vertex: int, closed: int
 def _chunks(rows: DataFrame) -> DataFrame:
     """(chunk, closed, stack) of each chunk's commands (chunk, line, next_vertex, w)."""
 
-    def run(batches):
-        for chunk, own in groupby(_rows(batches), key=lambda r: r[0]):
-            stack, closed = [SAME], 0
-            for _, _, next_vertex, words in own:
-                stack, closed = applied(stack, words, next_vertex, closed)
-            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "closed": [closed], "stack": [json.dumps(stack)]})
+    def run(own: pa.Table) -> pa.Table:
+        stack, closed = [SAME], 0
+        for next_vertex, words in _in_order(own, "next_vertex", "w"):
+            stack, closed = applied(stack, words, next_vertex, closed)
+        return pa.table({"chunk": own["chunk"].slice(0, 1), "closed": [closed], "stack": [json.dumps(stack)]})
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "line").mapInArrow(run, "chunk long, closed long, stack string")
+    return rows.groupBy("chunk").applyInArrow(run, "chunk long, closed long, stack string")
 
 
 def _before(chunks: DataFrame) -> DataFrame:
@@ -107,19 +105,26 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     return (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
 
+def _in_order(own: pa.Table, *columns: str) -> Iterator[tuple]:
+    own = own.sort_by("line").select(columns)
+    return zip(*(c.to_pylist() for c in own.columns), strict=True)
+
+
 def _states(rows: DataFrame) -> DataFrame:
-    """(line, m, first, correction): what holds after each command (chunk, line, next_vertex, w, stack)."""
+    """(line, m, first, correction): what holds after each command (chunk, line, next_vertex, w, stack).
 
-    def run(batches):
-        for _, own in groupby(_rows(batches), key=lambda r: r[0]):
-            stack, out = None, []
-            for _, line, next_vertex, words, text in own:
-                stack = [tuple(level) for level in json.loads(text)] if stack is None else stack
-                stack, _ = applied(stack, words, next_vertex)
-                out.append((line, stack[-1][1], stack[-1][2], stack[-1][3]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64()), strict=True)], names=["line", "m", "first", "correction"])
-
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "line").mapInArrow(run, "line long, m array<double>, first long, correction long")
+    A chunk is a group, as only a grouping holds it together: rows that a join deals out and repartition()
+    deals alike may be read where they were written, a part of a chunk here and a part there.
+    """
+
+    def run(own: pa.Table) -> pa.Table:
+        stack, out = [tuple(level) for level in json.loads(own["stack"][0].as_py())], []
+        for line, next_vertex, words in _in_order(own, "line", "next_vertex", "w"):
+            stack, _ = applied(stack, words, next_vertex)
+            out.append((line, *stack[-1][1:]))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64()), strict=True)], names=["line", "m", "first", "correction"])
+
+    return rows.groupBy("chunk").applyInArrow(run, "line long, m array<double>, first long, correction long")
 
 
 def read(spark: SparkSession, path: str) -> Mesh:

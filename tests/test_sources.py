@@ -144,3 +144,21 @@ def test_smf_scopes_and_transforms(spark, tmp_path, monkeypatch, chunk):
     smf.write(mesh, f"file://{tmp_path}/out{chunk}")
     back = smf.read(spark, f"file://{tmp_path}/out{chunk}")
     assert back.vertex.exceptAll(mesh.vertex).count() == 0
+
+
+def test_smf_chunks_that_lie_in_several_files(spark, tmp_path, monkeypatch):
+    """A chunk's commands come from several files, and their stacks turn out small enough to broadcast while the join runs."""
+    from meshloom.sources import lines, smf
+
+    monkeypatch.setattr(lines, "CHUNK", 8)
+    monkeypatch.setattr(smf, "CHUNK", 64)
+    text = ["begin", "trans 0 0 1", *[x for i in range(100) for x in ("begin", f"trans {i} 0 0", "v 0 0 0", "v 1 0 0", "v 0 1 0", "f 1 2 3", "end")], "end"]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = smf.read(spark, write(tmp_path, "\n".join(text), "scenes")).vertex.orderBy("id").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert [tuple(r) for r in got] == [(3 * i + j + 1, i + (j == 1), float(j == 2), 1.0) for i in range(100) for j in range(3)]
