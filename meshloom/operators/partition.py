@@ -13,7 +13,7 @@ from ..functions.shape import let
 from ..functions.vector import Vec
 from ..model import MeshError
 from ..storage import numbered, written
-from .refine import blocks
+from .refine import blocks, medians
 
 METHODS = ("one", "jk", "ij square", "jk square", "ijk square")
 
@@ -80,8 +80,7 @@ def by_inertia(rows: DataFrame, levels: int) -> DataFrame:
         axes = written(axes, "axes")  # a row a part, 2 ** levels at most
         along = rows.join(F.broadcast(axes), "part").withColumn("__t", Vec.of(F.col("axis")).dot(Vec(*[F.col(c) for c in "xyz"])))
         along = written(along.drop("axis"), "along")
-        middle = along.groupBy("part").agg(F.percentile_approx("__t", 0.5, 100_000).alias("m"))
-        rows = along.join(F.broadcast(middle), "part").withColumn("part", F.col("part") * 2 + (F.col("__t") > F.col("m")).cast("long"))
+        rows = along.join(F.broadcast(medians(along, "__t", "part")), "part").withColumn("part", F.col("part") * 2 + (F.col("__t") > F.col("m")).cast("long"))
         rows = written(rows.select(*[c for c in along.columns if c != "__t"]), "parts")
     return rows
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import CORNERS, corners, explode_sides, positions_of
@@ -187,6 +187,24 @@ def chords(elem: DataFrame) -> DataFrame:
     return keys.join(label, keys.n == label.node).select("key", F.col("label").alias("chord"))
 
 
+def medians(rows: DataFrame, value: str, within: str) -> DataFrame:
+    """(within, m): the least value in each group that half of its values at least don't exceed, exactly; nulls don't count.
+
+    Equal values are one row with their count; these are dealt by ranges and added up inside a range after the
+    ranges before it, so no group is sorted in one task.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = rows.filter(F.col(value).isNotNull()).groupBy(F.col(within), F.col(value).alias("m")).agg(F.count("*").alias("__n"))
+    each = written(each.repartitionByRange(parts, within, "m").withColumn("__part", F.spark_partition_id()), "value-counts")
+    ahead = Window.partitionBy(within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range and group
+    ranges = each.groupBy(within, "__part").agg(F.sum("__n").alias("__own"))
+    ranges = ranges.select(within, "__part", F.coalesce(F.sum("__own").over(ahead), F.lit(0)).alias("__before"), F.sum("__own").over(Window.partitionBy(within)).alias("__all"))
+    upto = F.sum("__n").over(Window.partitionBy(within, "__part").orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
+    met = each.withColumn("__upto", upto).join(ranges, [within, "__part"])
+    return met.filter(2 * (F.col("__before") + F.col("__upto")) >= F.col("__all")).groupBy(within).agg(F.min("m").alias("m"))
+
+
 def cut(rows: DataFrame, coordinates: list[str], levels: int) -> DataFrame:
     """rows with part, 0 to 2 ** levels - 1: each part is halved at the median of the coordinate along which it is longest."""
     rows = written(rows.withColumn("part", F.lit(0).cast("long")), "parts")

@@ -98,3 +98,20 @@ def test_sheets_and_dual_cells(spark):
     rings = dual.edge_rings(mesh.elem.filter("id in (1, 5)")).filter("a = 6 and b = 22").first()
     assert (rings.fans, rings.closed, len(rings.ring)) == (2, False, 2)
     assert adjacency.stars(mesh.elem).count() == 0
+
+
+def test_medians_are_exact(spark):
+    """More values than an approximate median tells apart, ties, and nulls."""
+    from meshloom.operators.refine import medians
+
+    n = 400_001
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"), F.col("id"))
+    assert medians(rows.withColumn("g", F.lit(1)), "x", "g").first().m == (n - 1) // 2
+    few = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 5.0), (1, 1.0), (1, None), (2, 2.0), (2, 1.0)], "g int, x double")
+    assert {r.g: r.m for r in medians(few, "x", "g").collect()} == {1: 5.0, 2: 1.0}
+
+
+def test_inertia_halves_exactly(spark):
+    n = 400_000
+    rows = partition.by_inertia(spark.range(n).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")), 1)
+    assert sorted(tuple(r) for r in rows.groupBy("part").agg(F.count("*").alias("n"), (F.max("id") - F.min("id")).alias("d")).select("n", "d").collect()) == [(n // 2, n // 2 - 1)] * 2
