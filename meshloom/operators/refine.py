@@ -209,13 +209,14 @@ def cut(rows: DataFrame, coordinates: list[str], levels: int) -> DataFrame:
     """rows with part, 0 to 2 ** levels - 1: each part is halved at the median of the coordinate along which it is longest."""
     rows = written(rows.withColumn("part", F.lit(0).cast("long")), "parts")
     for _ in range(levels):
-        span = rows.groupBy("part").agg(*[(F.max(c) - F.min(c)).alias("s_" + c) for c in coordinates], *[F.percentile_approx(c, 0.5, 100_000).alias("m_" + c) for c in coordinates])
+        span = rows.groupBy("part").agg(*[(F.max(c) - F.min(c)).alias("s_" + c) for c in coordinates])
         longest = F.greatest(*[F.col("s_" + c) for c in coordinates]) if len(coordinates) > 1 else F.col("s_" + coordinates[0])
-        side: Callable | Column = F
+        along: Callable | Column = F
         for c in coordinates:
-            side = side.when(F.col("s_" + c) == longest, (F.col(c) > F.col("m_" + c)).cast("long"))
-        met = rows.join(F.broadcast(span), "part")  # a row a part, 2 ** levels at most
-        rows = written(met.withColumn("part", F.col("part") * 2 + side).select(*rows.columns), "parts")
+            along = along.when(F.col("s_" + c) == longest, F.col(c))
+        met = written(rows.join(F.broadcast(span), "part").withColumn("__t", along).select(*rows.columns, "__t"), "along")  # a row a part, 2 ** levels at most
+        met = met.join(F.broadcast(medians(met, "__t", "part")), "part")
+        rows = written(met.withColumn("part", F.col("part") * 2 + (F.col("__t") > F.col("m")).cast("long")).select(*rows.columns), "parts")
     return rows
 
 

@@ -102,13 +102,15 @@ def test_sheets_and_dual_cells(spark):
 
 def test_medians_are_exact(spark):
     """More values than an approximate median tells apart, ties, and nulls."""
-    from meshloom.operators.refine import medians
+    from meshloom.operators.refine import cut, medians
 
     n = 400_001
     rows = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("x"), F.col("id"))
     assert medians(rows.withColumn("g", F.lit(1)), "x", "g").first().m == (n - 1) // 2
     few = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 5.0), (1, 1.0), (1, None), (2, 2.0), (2, 1.0)], "g int, x double")
     assert {r.g: r.m for r in medians(few, "x", "g").collect()} == {1: 5.0, 2: 1.0}
+    got = cut(rows, ["x"], 2).groupBy("part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("part").collect()
+    assert [tuple(r) for r in got] == [(0, 100001, 0.0, 100000.0), (1, 100000, 100001.0, 200000.0), (2, 100000, 200001.0, 300000.0), (3, 100000, 300001.0, 400000.0)]
 
 
 def test_inertia_halves_exactly(spark):
