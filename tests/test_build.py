@@ -120,3 +120,18 @@ def test_written_tables_are_deleted(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_overlay_far_from_the_origin(spark):
+    """Leaning lattices whose lines coincide in places, where products of whole coordinates have fewer digits than the tolerance."""
+
+    def lattice(lines):
+        points = [(u + 0.3 * v, v + 0.2 * u, 0) for v in lines for u in lines]
+        m = len(lines)
+        return mesh_of(spark, points, [(1 + i + m * j, 2 + i + m * j, m + 2 + i + m * j, m + 1 + i + m * j) for j in range(m - 1) for i in range(m - 1)], "QUAD")
+
+    a, b = [2001 + x for x in (0, 1, 3, 6, 7, 9, 10, 13)], [2001 + x for x in (0, 2, 3, 5, 7, 10, 11, 13)]
+    out = overlay.overlay(lattice(a), lattice(b), 5.0)
+    k = len({*a, *b}) - 1
+    assert counts(out) == ({"inner": 2 * k * (k - 1), "border": 4 * k}, (k + 1) ** 2, k * k)
+    assert out.parents.agg(F.sum("area")).first()[0] == pytest.approx(13 * 13 * 0.94, abs=1e-9)
