@@ -73,3 +73,16 @@ def test_sources(spark, tmp_path):
     layout.write(mesh, str(tmp_path / "m"))
     again = layout.read(spark, str(tmp_path / "m"))
     assert {(r.etype, r.id, tuple(r.conn)) for r in again.elem.collect()} == {(ETYPES["TRI"], 1, (1, 2, 3)), (ETYPES["QUAD"], 2, (1, 2, 4, 3))}
+
+
+def test_triangles_in_cells_are_not_broadcast(spark):
+    """Their size is unknown to Spark, and no driver holds them."""
+    from pyspark.sql import functions as F
+
+    from meshloom.operators import geometry
+
+    corner = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z")) for x, y in ((0.0, 0.0), (50.0, 0.0), (0.0, 50.0))]
+    triangles = spark.range(3).select(F.col("id").alias("tid"), *[c.alias(n) for c, n in zip(corner, "abc", strict=True)])
+    points = spark.createDataFrame([(1, 1.0, 1.0, 0.5), (2, 60.0, 0.0, 0.0)], "pid long, x double, y double, z double")
+    assert "Broadcast" not in geometry.near_triangles(points, triangles, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert {r.pid: (r.tid, r.d2) for r in geometry.closest(points, triangles, 1.0, 16.0).collect()} == {1: (0, 0.25), 2: (0, 100.0)}
