@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shape import let
 from ..functions.vector import Vec, det
 from ..model import ETYPES, Mesh, elem_vertex
 
@@ -44,19 +45,20 @@ def clip(subject: Column, window: Column) -> Column:
 
     def cut(poly: Column, edge: Column) -> Column:
         a, b = edge["a"], edge["b"]
-        side = lambda v: (b["x"] - a["x"]) * (v["y"] - a["y"]) - (b["y"] - a["y"]) * (v["x"] - a["x"])
         n = F.size(poly)
+        none = F.array().cast("array<struct<x:double,y:double>>")
 
-        def step(v: Column, i: Column) -> Column:
-            u = F.get(poly, (i + n - 1) % n)
-            su, sv = side(u), side(v)
-            k = su / F.nullif(su - sv, F.lit(0.0))
-            met = F.struct((u["x"] + (v["x"] - u["x"]) * k).alias("x"), (u["y"] + (v["y"] - u["y"]) * k).alias("y"))
-            own = F.struct(v["x"].alias("x"), v["y"].alias("y"))
-            none = F.slice(F.array(own), 1, 0)
-            return F.when((sv >= 0) & (su >= 0), F.array(own)).when(sv >= 0, F.array(met, own)).when(su >= 0, F.array(met)).otherwise(none)
+        def kept(sides: Column) -> Column:  # of each corner, computed once
+            def step(v: Column, i: Column) -> Column:
+                j = (i + n - 1) % n
+                u, su, sv = F.get(poly, j), F.get(sides, j), F.get(sides, i)
+                met = let(su / F.nullif(su - sv, F.lit(0.0)), lambda k: F.struct((u["x"] + (v["x"] - u["x"]) * k).alias("x"), (u["y"] + (v["y"] - u["y"]) * k).alias("y")))
+                own = F.struct(v["x"].alias("x"), v["y"].alias("y"))
+                return F.when((sv >= 0) & (su >= 0), F.array(own)).when(sv >= 0, F.array(met, own)).when(su >= 0, F.array(met)).otherwise(none)
 
-        return F.flatten(F.transform(poly, step))
+            return F.flatten(F.transform(poly, step))
+
+        return let(F.transform(poly, lambda v: (b["x"] - a["x"]) * (v["y"] - a["y"]) - (b["y"] - a["y"]) * (v["x"] - a["x"])), kept)
 
     n = F.size(window)
     edges = F.transform(window, lambda v, i: F.struct(v.alias("a"), F.get(window, (i + 1) % n).alias("b")))
@@ -76,11 +78,21 @@ def overlaps(source: DataFrame, target: DataFrame, width: float, least: float =
         rows = cells.select(F.col("id").alias(name), F.col("poly").alias(name + "_poly"))
         for c in "xy":
             v = F.col(f"{name}_poly.{c}")  # an array: that field of each corner
-            rows = rows.withColumn("c" + c, F.explode(F.sequence(F.floor(F.array_min(v) / width), F.floor(F.array_max(v) / width))))
+            rows = rows.withColumn(f"{name}_{c}0", F.array_min(v)).withColumn(f"{name}_{c}1", F.array_max(v))
+        for c in "xy":
+            rows = rows.withColumn("c" + c, F.explode(F.sequence(F.floor(F.col(f"{name}_{c}0") / width), F.floor(F.col(f"{name}_{c}1") / width))))
         return rows
 
-    pairs = covered(source, "src").join(covered(target, "tgt"), ["cx", "cy"]).dropDuplicates(["src", "tgt"])
-    return pairs.select("src", "tgt", planar_area(clip(F.col("src_poly"), F.col("tgt_poly"))).alias("area")).filter(F.col("area") > least)
+    pairs = covered(source, "src").join(covered(target, "tgt").hint("merge"), ["cx", "cy"])
+    sides = []
+    for c in "xy":  # a pair counts in one cell only: the first that both touch; boxes that only touch have no area in common
+        low, high = F.greatest(f"src_{c}0", f"tgt_{c}0"), F.least(f"src_{c}1", f"tgt_{c}1")
+        pairs = pairs.filter((low < high) & (F.col("c" + c) == F.floor(low / width)))
+        sides.append(high - low)
+    pairs = pairs.filter(sides[0] * sides[1] > least / 2)
+    # a filter on the area would be pushed below it and clip each pair twice
+    area = F.array(planar_area(clip(F.col("src_poly"), F.col("tgt_poly"))))
+    return pairs.select("src", "tgt", F.explode(F.filter(area, lambda x: x > least)).alias("area"))
 
 
 def weights(overlap: DataFrame) -> DataFrame:

@@ -123,3 +123,9 @@ def test_pieces_of_rays_outside_of_the_surface_meet_nothing(spark):
     rays = spark.range(20).select(F.col("id").alias("rid"), struct(0, 0.1, 0.1).alias("o"), struct(1, 0, 0).alias("d"), F.lit(1e6).alias("length"))
     assert {(r.rid, r.t) for r in spatial.ray_hits(rays, triangles, 0.5).collect()} == {(i, 1.0) for i in range(20)}
     assert "BroadcastHashJoin" not in spatial.ray_hits(rays, triangles, 0.5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_meshes_meet_once_without_a_shuffle_of_pairs(spark):
+    over = measure.overlaps(squares(spark, 5), squares(spark, 3), 1 / 20)
+    assert over.count() == 49
+    assert "Aggregate" not in over._jdf.queryExecution().executedPlan().toString()
