@@ -11,6 +11,7 @@ from .functions import quality
 from .model import ETYPES, Mesh
 from .operators import adjacency, entities, measure, parts, sets, spatial
 from .plans.views import brick, brick_size, orders_mesh, squares, table
+from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -238,6 +239,7 @@ def remap_field(spark, sf_dir):
 def remap_transposed(spark, sf_dir):
     """Target areas carried back by the transposed weights: what each source cell covers."""
     a, overlap = _overlap(spark, sf_dir)
+    overlap = written(overlap, "overlap")  # three plans read it
     own = overlap.groupBy(F.col("tgt").alias("id")).agg(F.sum("area").alias("value"))
     return measure.apply_weights(measure.weights(overlap), own, transpose=True).select("id", F.round("value", 6).alias("value"))
 
